@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, tokens, vocabulary
+from . import encodings, languages, lines, mixing, sentences, tokens, vocabulary
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,28 @@ def p3_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_repeated_lines(_table(spark, d, "chunks").select("chunk_id", "book_id", "chunk_index", "text")).select("chunk_id", "book_id", "chunk_index", "clean_text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled_records(_table(spark, d, "chunks")).select("chunk_id")
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled_records(_table(spark, d, "chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _table(spark, d, "chunks")
+    return languages.mislabelled(chunks, languages.train(chunks))
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _table(spark, d, "chunks")
+    return languages.segments(chunks, languages.train(chunks))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(_table(spark, d, "documents"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(_table(spark, d, "documents"))
 
@@ -52,7 +74,7 @@ def p7_kept_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_vocabulary, p3_found, p3_clean_text, p6_ids, p6_round_trip, p7_mix, p7_report, p7_kept_shares)
+    names = (p1_found, p1_vocabulary, p3_found, p3_clean_text, p4_found, p4_restored, p5_found, p5_segments, p6_ids, p6_round_trip, p7_mix, p7_report, p7_kept_shares, p8_found)
     return {f.__name__: f for f in names}
 
 
