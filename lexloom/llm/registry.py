@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encodings, languages, lines, mixing, sentences, tokens, vocabulary
+from . import encodings, languages, lines, mixing, scans, sentences, tokens, vocabulary
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def p1_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.vocabulary_frequencies(_table(spark, d, "bm25_vocab"), _table(spark, d, "bm25_book_terms"), _table(spark, d, "bm25_book_stats"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(_table(spark, d, "chunks"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_table(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(_table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "line_no")
 
@@ -74,7 +82,7 @@ def p7_kept_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p1_vocabulary, p3_found, p3_clean_text, p4_found, p4_restored, p5_found, p5_segments, p6_ids, p6_round_trip, p7_mix, p7_report, p7_kept_shares, p8_found)
+    names = (p1_found, p1_vocabulary, p2_found, p2_repaired, p3_found, p3_clean_text, p4_found, p4_restored, p5_found, p5_segments, p6_ids, p6_round_trip, p7_mix, p7_report, p7_kept_shares, p8_found)
     return {f.__name__: f for f in names}
 
 
