@@ -1,9 +1,461 @@
-"""The queries over the given tables, and the SQL that checks them."""
+"""The queries over the given tables, and the SQL that checks them where SQL can."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from lexloom.functions import ids, text, vectors, web
+from lexloom.operators import bm25, chunker, dense, dictionary, fusion, rag, store
+from lexloom.sources.tables import table, table_rows
+from lexloom.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _body(s: SparkSession, d: str) -> DataFrame:
+    """The chunks that count in statistics: no summaries."""
+    return table(s, d, "chunks").where(~F.coalesce("is_summary", F.lit(False)))
+
+
+def _asked(rows: DataFrame, id: str, *columns: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 100."""
+    return rows.where(F.col(id) % 100 == 0).select(F.col(id).alias("qid"), *columns)
+
+
+# statistics of terms
+
+_TERMS = r"regexp_extract_all(lower({0}), '(\p{{L}}+)', 1)"
+_BODY = "body as (select * from chunks where not coalesce(is_summary, false))"
+_BOOK = f"{_BODY}, tt as (select book_id, unnest(list_distinct({_TERMS.format('text')})) term from body), bt as (select book_id, term, count(*) document_frequency from tt where length(term) > 1 group by all)"
+_IDF = f"{_BOOK}, n as (select count(*)::double n from body), vocab as (select term, sum(document_frequency)::bigint df from bt group by term), idf as (select term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) idf from vocab, n where df >= 2)"
+
+
+@query(f"with {_BOOK} select * from bt")
+def bm25_book_terms(s: SparkSession, d: str) -> DataFrame:
+    return bm25.book_terms(_body(s, d))
+
+
+@query(f"with {_BODY} select book_id, count(*) chunk_count from body group by book_id")
+def bm25_book_stats(s: SparkSession, d: str) -> DataFrame:
+    return bm25.book_stats(_body(s, d))
+
+
+@query(f"with {_IDF} select term, df document_frequency from vocab")
+def bm25_vocabulary(s: SparkSession, d: str) -> DataFrame:
+    return bm25.vocabulary(bm25.book_terms(_body(s, d)))
+
+
+def _weights(s: SparkSession, d: str) -> DataFrame:
+    body = _body(s, d)
+    return bm25.idf(bm25.vocabulary(bm25.book_terms(body)), bm25.book_stats(body))
+
+
+@query(f"with {_IDF} select term, df document_frequency, round(idf, 6) idf from idf")
+def bm25_idf(s: SparkSession, d: str) -> DataFrame:
+    return _weights(s, d).select("term", "document_frequency", F.round("idf", 6).alias("idf"))
+
+
+@query(f"with {_IDF}, u as (select chunk_id, unnest({_TERMS.format('text')}) term from body), tf as (select chunk_id, term, count(*) tf from u group by all) select chunk_id, term, round(idf * tf * 2.5 / (tf + 1.5), 5) weight from tf join idf using (term)")
+def bm25_passage_vectors(s: SparkSession, d: str) -> DataFrame:
+    return bm25.postings(_body(s, d), _weights(s, d), id="chunk_id").select("chunk_id", "term", F.round("weight", 5).alias("weight"))
+
+
+_DOC_IDF = f"""du as (select doc_id, source, lang, unnest({_TERMS.format('text')}) term from documents where text is not null),
+tf as (select doc_id, source, lang, term, count(*) tf from du where length(term) > 1 group by all),
+dn as (select count(*)::double n from documents), didf as (select term, ln(1 + (n - df + 0.5) / (df + 0.5)) idf from (select term, count(*) df from tf group by term), dn where df >= 2),
+post as (select doc_id, source, lang, term, idf * tf * 2.5 / (tf + 1.5) w from tf join didf using (term))"""
+
+
+def _search_sql(k: int, where: str = "true") -> str:
+    return f"""{_DOC_IDF}, sc as (select q.doc_id qid, p.doc_id, round(sum(q.w * p.w), 6) score from post q join post p on q.term = p.term where q.doc_id % 100 = 0 and {where} group by all),
+sparse as (select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from sc) where rank <= {k})"""
+
+
+def _doc_weights(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    return bm25.idf(bm25.vocabulary(bm25.book_terms(docs, book="source")), bm25.book_stats(docs, book="source"))
+
+
+def _doc_search(s: SparkSession, d: str, k: int, where: Column | None = None, asked: DataFrame | None = None) -> DataFrame:
+    docs = table(s, d, "documents")
+    asked = _asked(docs, "doc_id", "text", F.col("lang").alias("q_lang")) if asked is None else asked
+    return bm25.search(asked, docs.select("doc_id", "text", "lang"), _doc_weights(s, d), k=k, where=where)
+
+
+@query(f"with {_search_sql(5)} select qid, doc_id, score, rank from sparse")
+def bm25_search_topk(s: SparkSession, d: str) -> DataFrame:
+    return _doc_search(s, d, 5)
+
+
+@query(f"with {_search_sql(5, 'q.lang = p.lang')} select qid, doc_id, score, rank from sparse")
+def bm25_search_filtered(s: SparkSession, d: str) -> DataFrame:
+    return _doc_search(s, d, 5, F.col("q_lang") == F.col("lang"))
+
+
+_OLD = "old as (select book_id, lower(trim(term)) term, max(document_frequency) df from bm25_book_terms where book_id is not null and trim(term) <> '' and document_frequency > 0 group by all)"
+
+
+def _stored_terms(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "bm25_book_terms").where("book_id is not null and trim(term) != '' and document_frequency > 0")
+    return rows.groupBy("book_id", F.lower(F.trim("term")).alias("term")).agg(F.max(F.col("document_frequency").cast("long")).alias("document_frequency"))
+
+
+@query(f"with {_BOOK}, {_OLD} select coalesce(a.term, b.term) term, coalesce(b.df, 0)::bigint document_frequency from (select term, sum(df) df from old group by term) a full join (select term, sum(document_frequency) df from bt group by term) b on a.term = b.term where coalesce(b.df, 0) > 0")
+def bm25_books_replaced(s: SparkSession, d: str) -> DataFrame:
+    """All stored contributions give way to those of the chunks that are there."""
+    old = _stored_terms(s, d)
+    return bm25.replaced(bm25.vocabulary(old), old, bm25.book_terms(_body(s, d)))
+
+
+# vectors
+
+
+@query("with v as (select vec_id, [x::double for x in embedding] e from embeddings), n as (select vec_id, e, sqrt(list_sum([x * x for x in e])) l from v) select vec_id, round(l, 6) length, [round(x / l, 6) for x in e] unit from n")
+def vector_lengths(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("length"), F.transform(vectors.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("with u as (select label, unnest(embedding)::double x, unnest(range(1, len(embedding) + 1)) i from embeddings) select label, i::int dimension, round(avg(x), 6) mean from u group by label, i")
+def vector_means(s: SparkSession, d: str) -> DataFrame:
+    cells = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return cells.groupBy("label", (F.col("i") + 1).alias("dimension")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+def _dense_sql(k: int, where: str = "true") -> str:
+    return f"""ds as (select q.vec_id qid, p.vec_id, round(list_cosine_similarity([x::double for x in q.embedding], [x::double for x in p.embedding]), 6) score from embeddings q, embeddings p where q.vec_id % 100 = 0 and {where}),
+dense as (select * from (select qid, vec_id, score, row_number() over (partition by qid order by score desc, vec_id) rank from ds) where rank <= {k})"""
+
+
+@query(f"with {_dense_sql(5)} select qid, vec_id, score, rank from dense")
+def dense_topk(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return dense.top_k(_asked(e, "vec_id", "embedding"), e, k=5)
+
+
+@query(f"with {_dense_sql(5, 'q.label = p.label')} select qid, vec_id, score, rank from dense")
+def dense_topk_filtered(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return dense.top_k(_asked(e, "vec_id", "embedding", "label"), e, label="label", k=5)
+
+
+@query()
+def dense_quantized_topk(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return dense.rescored_top_k(_asked(e, "vec_id", "embedding"), e, k=5)
+
+
+@query(f"with {_search_sql(15)}, {_dense_sql(15)}, h as (select qid, doc_id, rank from sparse union all select qid, vec_id, rank from dense), f as (select qid, doc_id, round(sum(1.0::double / (60 + rank)), 9) score from h group by all) select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from f) where rank <= 5")
+def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
+    """Keyword and vector hits, three times as many as asked for, fused by rank; vec_id is the doc_id."""
+    e = table(s, d, "embeddings")
+    near = dense.top_k(_asked(e, "vec_id", "embedding"), e, k=15).withColumnRenamed("vec_id", "doc_id")
+    return fusion.rrf([_doc_search(s, d, 15), near], k=5)
+
+
+@query(f"with {_search_sql(10)}, wide as (select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from (select q.doc_id qid, p.doc_id, round(sum(q.w * p.w), 6) score from post q join post p on q.term = p.term where q.doc_id % 100 = 0 and q.lang = p.lang group by all)) where rank <= 15), u as (select *, 0 pass from sparse union all select *, 1 from wide) select qid, doc_id, pass, rank from (select *, row_number() over (partition by qid, doc_id order by pass, rank) n from u) where n = 1")
+def retry_pool(s: SparkSession, d: str) -> DataFrame:
+    first, wide = _doc_search(s, d, 10), _doc_search(s, d, 15, F.col("q_lang") == F.col("lang"))
+    return fusion.merged_pool([first, wide]).select("qid", "doc_id", "pass", "rank")
+
+
+@query()
+def retrieval_loop(s: SparkSession, d: str) -> DataFrame:
+    """Titles and first lines of documents asked over all documents, with open gates so that further passes run."""
+    ingest.ensure_checkpoints(s)
+    docs = table(s, d, "documents").select("doc_id", "text", "lang")
+    asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), F.get(F.split("text", "\n"), F.lit(0)).alias("text"), F.col("lang").alias("q_lang"))
+
+    def search(some: DataFrame, how: rag.Pass) -> DataFrame:
+        return _doc_search(s, d, how.k, None if how.any_language else F.col("q_lang") == F.col("lang"), asked=some)
+
+    return rag.retrieve(asked, docs, search, gates=rag.Gates(confident=4.0, answer=0.0, retry=-4.0, passes=2))
+
+
+# chunks and sections
+
+
+@query(rf"""select chunk_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\(data:[^)]+\)', '', 'g'), '{chr(0xAD)}[ \t]*', '', 'g'),
+'([А-Яа-яЁёA-Za-z0-9]) - ([А-Яа-яёa-z])', '\1\2', 'g'), '([А-Яа-яЁёA-Za-z0-9])- ([А-Яа-яёa-z])', '\1\2', 'g'), '[\t\v\f\r\p{{Z}}\x85]{{2,}}', ' ', 'g') clean from chunks""")
+def chunk_clean(s: SparkSession, d: str) -> DataFrame:
+    t = text.joined_hyphens(text.without_soft_hyphens(text.without_data_images(F.col("text"))))
+    return table(s, d, "chunks").select("chunk_id", text.single_spaces(t).alias("clean"))
+
+
+@query()
+def chunk_clean_whole(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").select("chunk_id", text.clean_markdown(F.col("text")).alias("clean"))
+
+
+@query()
+def markdown_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunker.markdown_chunks(table(s, d, "documents").select("doc_id", "text"))
+
+
+@query(r"with c as (select chunk_id, string_split(regexp_replace(text, '([.!?])[\s\p{Z}\v\x85]+', '\1' || chr(1), 'g'), chr(1)) s from chunks where text is not null) select chunk_id, len(s) sentences, list_max([length(x) for x in s]) longest from c")
+def rough_sentences(s: SparkSession, d: str) -> DataFrame:
+    cut = table(s, d, "chunks").where("text is not null").select("chunk_id", text.rough_sentences(F.col("text")).alias("s"))
+    return cut.select("chunk_id", F.size("s").alias("sentences"), F.array_max(F.transform("s", lambda x: F.length(x))).alias("longest"))
+
+
+@query("""with o as (select chunk_id, chapter_title, text, lag(chapter_title) over w p, lag(text) over w t from chunks where text is not null window w as (partition by book_id order by chunk_index, chunk_id))
+select chunk_id, case when p = chapter_title and 2047 - length(text) > 0 then right(t, least(512, 2047 - length(text))) || chr(10) || text else text end as text from o""")
+def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "chunks").where("text is not null").select("chunk_id", "book_id", "chunk_index", F.col("chapter_title").alias("path"), "text")
+    return chunker.overlapped(rows, id="book_id", order=["chunk_index", "chunk_id"]).select("chunk_id", "text")
+
+
+_PATH = "case when coalesce(section_title, '') = '' then chapter_title else chapter_title || ' > ' || section_title end"
+
+
+@query(f"""with {_BODY}, p as (select book_id, {_PATH} path, chunk_index, coalesce(text, '') t, chunk_id from body), f as (select book_id, path, min(chunk_index) i from p where trim(path) <> '' group by all),
+g as (select f.book_id, f.path, f.i, min(p.t) t from f join p on p.book_id = f.book_id and p.path = f.path and p.chunk_index = f.i group by all), n as (select book_id, count(*) total from body group by book_id)
+select g.book_id, path, (total + row_number() over (partition by g.book_id order by i, path) - 1)::int chunk_index, path || chr(10) || chr(10) || substr(t, 1, 800) as text from g join n using (book_id)""")
+def section_summaries(s: SparkSession, d: str) -> DataFrame:
+    named = F.when(F.coalesce("section_title", F.lit("")) == "", F.col("chapter_title")).otherwise(F.concat("chapter_title", F.lit(" > "), "section_title"))
+    return chunker.section_summaries(_body(s, d).select("book_id", named.alias("path"), "chunk_index", F.coalesce("text", F.lit("")).alias("text")))
+
+
+@query(f"""with q as (select chunk_id, book_id, chapter_title, section_title from chunks where coalesce(is_summary, false) and coalesce(section_title, '') <> ''), {_BODY},
+b as (select *, row_number() over (partition by book_id, chapter_title, section_title order by chunk_index, chunk_id) n from body)
+select q.chunk_id qid, b.chunk_id, 'section' via from q join b using (book_id, chapter_title, section_title) where n <= 50 union all select chunk_id, chunk_id, 'hit' from q""")
+def section_expand(s: SparkSession, d: str) -> DataFrame:
+    chunks = table(s, d, "chunks")
+    hits = chunks.where(F.coalesce("is_summary", F.lit(False)) & (F.coalesce("section_title", F.lit("")) != "")).select(F.col("chunk_id").alias("qid"), "chunk_id")
+    return fusion.with_sections(hits, chunks)
+
+
+@query(r"select doc_id, array_to_string(list_slice(list_filter([regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') for x in regexp_extract_all(text, '(?m)^## ([^\n]+)$', 1)], lambda x: length(x) >= 5 and not regexp_matches(x, '[:.]$') and not regexp_matches(x, '[=+]')), 1, 100), chr(10)) outline from documents where text is not null")
+def outlines(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", text.outline(F.col("text")).alias("outline"))
+
+
+@query()
+def table_cells(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "chunks").where("text is not null").select("chunk_id", F.posexplode(table_rows(F.col("text"))).alias("row", "cells"))
+    return rows.select("chunk_id", "row", F.posexplode("cells").alias("column", "cell"))
+
+
+# texts
+
+
+@query(r"""select doc_id, len(list_filter(string_split(text, ' '), lambda x: x <> '')) words, regexp_matches(text, '[Ѐ-ӿ]') cyrillic, (length(text) // 4)::int tokens, right(text, 20) tail, substr(text, 1, 40) head,
+trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' or regexp_matches(text, '^[\s\p{Z}]*$') blank from documents where text is not null""")
+def text_features(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(s, d, "documents").where("text is not null").select(
+        "doc_id", text.word_count(t).alias("words"), text.has_cyrillic(t).alias("cyrillic"), text.token_estimate(t).alias("tokens"), F.right(t, F.lit(20)).alias("tail"), F.substring(t, 1, 40).alias("head"), text.is_blank(t).alias("blank")
+    )
+
+
+@query(r"with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ ,.!?():;\t\n/-]'), lambda x: regexp_matches(x, '^[a-z]{5,}$')) w from documents where text is not null) select doc_id, unnest(list_distinct(w)) term from t")
+def latin_terms(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.explode(text.latin_terms(F.col("text"))).alias("term"))
+
+
+@query()
+def longest_terms(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", text.longest(text.latin_terms(F.col("text"))).alias("term"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+
+
+@query(f"with t as (select doc_id, list_filter(regexp_split_to_array(text, '[ ,.?!()-]+'), lambda x: length(x) > 3 and not list_contains({_STOP}, lower(x))) w from documents where text is not null), u as (select doc_id, unnest(w) keyword from t) select doc_id, keyword, count(*) n from u group by all")
+def keywords(s: SparkSession, d: str) -> DataFrame:
+    words = table(s, d, "documents").where("text is not null").select("doc_id", F.explode(text.keywords(F.col("text"))).alias("keyword"))
+    return words.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"))
+
+
+@query(r"select chunk_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\v\f\r]{2,}', ' ', 'g'), '^[\s\p{Z}\v\x85\x1c-\x1f]+|[\s\p{Z}\v\x85\x1c-\x1f]+$', '', 'g'), 1, 800) snippet from chunks where text is not null")
+def snippets(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").where("text is not null").select("chunk_id", text.html_snippet(F.col("text")).alias("snippet"))
+
+
+@query(r"""with g as (select doc_id, [[n::int for n in regexp_extract_all(x, '(\d+)', 1)] for x in regexp_extract_all(text, '(\[\s*\d{1,9}(?:\s*,\s*\d{1,9})*\s*\])', 1)] m from documents where text is not null)
+select doc_id, array_to_string(flatten(list_filter(m, lambda x: list_min(x) >= 1 and list_max(x) <= 5)), ',') citations from g""")
+def citations(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.array_join(text.citations(F.col("text"), F.lit(5)), ",").alias("citations"))
+
+
+@query()
+def answer_segments(s: SparkSession, d: str) -> DataFrame:
+    parts = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(text.answer_segments(F.col("text"), F.lit(5))).alias("pos", "p"))
+    return parts.select("doc_id", "pos", "p.text", "p.citation")
+
+
+@query()
+def stripped_answers(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", text.stripped_answer(F.col("text")).alias("answer"))
+
+
+@query(r"""with l as (select chunk_id, lower(trim(language)) x from chunks) select chunk_id, case when x in ('en', 'english') then 'en' when x in ('bg', 'bulgarian') then 'bg' else 'both' end code from l""")
+def language_codes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").select("chunk_id", text.language_code(F.col("language")).alias("code"))
+
+
+_ALLOWED = ["kb.lib5.example", ".lib46.example/a", "https://lib80.example", "lib1.example"]
+
+
+@query(r"""with u as (select doc_id, unnest(regexp_extract_all(text, '(https?://[A-Za-z0-9./?=&_-]+)', 1)) url from documents where text is not null), h as (select doc_id, url, lower(regexp_extract(url, '^https?://([^/?]+)', 1)) host from u)
+select doc_id, url, host, url like 'https://%' and (host in ('kb.lib5.example', 'lib46.example', 'lib80.example', 'lib1.example') or regexp_matches(host, '\.(kb\.lib5|lib46|lib80|lib1)\.example$')) allowed from h""")
+def url_policy(s: SparkSession, d: str) -> DataFrame:
+    urls = table(s, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(https?://[A-Za-z0-9./?=&_-]+)"), 1)).alias("url"))
+    return urls.select("doc_id", "url", web.host(F.col("url")).alias("host"), web.is_allowed(F.col("url"), _ALLOWED).alias("allowed"))
+
+
+@query("""with a as (select event_id, (user_id % 256)::int a, (event_id % 256)::int b from events) select event_id, a || '.' || b || '.7.9' address, a in (0, 10, 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 100 and b between 64 and 127) blocked from a""")
+def address_policy(s: SparkSession, d: str) -> DataFrame:
+    address = F.concat_ws(".", (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("7.9"))
+    return table(s, d, "events").select("event_id", address.alias("address")).withColumn("blocked", web.is_blocked_address("address"))
+
+
+_KEY = "case when coalesce(is_summary, false) then 'summary:' else '' end || book_id || ':' || chunk_index"
+
+
+@query(f"""with h as (select chunk_id, {_KEY} key, sha256('chunk:' || {_KEY}) h from chunks where book_id is not null)
+select chunk_id, key, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || '8' || substr(h, 14, 1) || '-'
+|| substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) point_id from h""")
+def point_ids(s: SparkSession, d: str) -> DataFrame:
+    key = ids.point_key(F.col("book_id"), F.col("chunk_index"), F.col("is_summary"))
+    return table(s, d, "chunks").where("book_id is not null").select("chunk_id", key.alias("key")).withColumn("point_id", ids.guid(F.col("key")))
+
+
+@query("select event_id, json_extract_string(props, '$.k')::int k from events")
+def json_fields(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+# the dictionary
+
+_NAMES = "names as (select distinct upper(icd_code) code, unnest([name_en, name_bg]) nm from illnesses), kept as (select code, nm, lower(nm) low from names where trim(nm) <> '')"
+
+
+@query(f"with {_NAMES} select chunk_id, array_to_string(list_sort(list_distinct(list(code))), ',') codes from chunks join kept on contains(lower(text), low) group by chunk_id")
+def icd_tags(s: SparkSession, d: str) -> DataFrame:
+    found = dictionary.tagged(table(s, d, "chunks"), dictionary.names(table(s, d, "illnesses")))
+    return found.select("chunk_id", F.array_join("codes", ",").alias("codes"))
+
+
+def _titles(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").where("section_title != ''").select(F.col("section_title").alias("qid"), F.col("section_title").alias("text")).distinct()
+
+
+@query(f"""with {_NAMES}, q as (select distinct section_title qid from chunks where section_title <> ''), w as (select qid, list_filter(regexp_split_to_array(qid, '[ ,.?!()-]+'), lambda x: length(x) > 3 and not list_contains({_STOP}, lower(x))) w from q),
+own as (select qid, qid term from q union all select qid, unnest(w) from w), hit as (select distinct qid, code from own join kept on lower(own.term) = low), every as (select qid, lower(term) low from own union select qid, low from hit join kept using (code))
+select qid, low as term from every""")
+def query_expansion(s: SparkSession, d: str) -> DataFrame:
+    found = dictionary.expanded(_titles(s, d), dictionary.names(table(s, d, "illnesses")))
+    return found.select("qid", F.lower("term").alias("term"))
+
+
+@query("with c as (select chunk_id, unnest(icd_codes) icd_code from chunks) select c.chunk_id, c.icd_code, i.name_en, i.name_bg from c left join illnesses i on upper(c.icd_code) = upper(i.icd_code)")
+def dictionary_lookup(s: SparkSession, d: str) -> DataFrame:
+    codes = table(s, d, "chunks").select("chunk_id", F.explode("icd_codes").alias("icd_code"))
+    return dictionary.looked_up(codes, table(s, d, "illnesses"))
+
+
+@query("""with t as (select distinct lower(regexp_extract(section_title, '(\\p{L}+)$', 1)) term from chunks where section_title <> ''), h as (select term qid, icd_code, name_en, row_number() over (partition by term order by name_en, icd_code) n from t join illnesses on term <> '' and (contains(lower(name_en), term) or contains(lower(name_bg), term) or starts_with(lower(icd_code), term)))
+select * from h where n <= 50""")
+def dictionary_search(s: SparkSession, d: str) -> DataFrame:
+    last = F.lower(F.regexp_extract("section_title", r"(\p{L}+)$", 1))
+    terms = table(s, d, "chunks").where("section_title != ''").select(last.alias("term")).distinct().select(F.col("term").alias("qid"), "term")
+    return dictionary.searched(terms, table(s, d, "illnesses"))
+
+
+# tables and their changes
+
+
+@query("select id, book_id, trim(title) title, author from books where status = 'indexed'")
+def catalog(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "books").where("status = 'indexed'").select("id", "book_id", F.trim("title").alias("title"), "author").orderBy("title", "id")
+
+
+_LATEST = "select * exclude (n) from (select *, row_number() over (partition by book_id, chunk_index, coalesce(is_summary, false) order by indexed_at desc, chunk_id desc) n from chunks) where n = 1"
+
+
+@query(f"select chunk_id, book_id, chunk_index, text from ({_LATEST})")
+def upsert_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries applied in order: of a chunk the latest counts."""
+    rows = table(s, d, "chunks").withColumn("summary", F.coalesce("is_summary", F.lit(False)))
+    last = store.latest(rows, ["book_id", "chunk_index", "summary"], [F.col("indexed_at").desc(), F.col("chunk_id").desc()])
+    return last.select("chunk_id", "book_id", "chunk_index", "text")
+
+
+_NEW_BOOKS = "fresh as (select book_id, min(book_title) title, min(author) author, count(distinct chunk_index)::int total_chunks from chunks where book_id is not null group by book_id)"
+
+
+def _fresh(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").where("book_id is not null").groupBy("book_id").agg(F.min("book_title").alias("title"), F.min("author").alias("author"), F.count_distinct("chunk_index").cast("int").alias("total_chunks"))
+
+
+@query(f"""with {_NEW_BOOKS} select coalesce(b.book_id, f.book_id) book_id, case when f.book_id is not null and coalesce(trim(f.author), '') <> '' then f.author when f.book_id is not null and b.book_id is null then f.author else b.author end author,
+case when f.book_id is null then b.title else f.title end title, case when f.book_id is null then b.total_chunks else f.total_chunks end total_chunks, b.outline from books b full join fresh f on b.book_id = f.book_id""")
+def upsert_books(s: SparkSession, d: str) -> DataFrame:
+    old = table(s, d, "books").select("book_id", "author", "title", "total_chunks", "outline")
+    return store.filled(old, _fresh(s, d), "book_id", kept_if_blank=["author"], untouched=["outline"])
+
+
+@query(f"with {_NEW_BOOKS} select book_id, title, total_chunks from books union all select book_id, title, total_chunks from fresh where book_id not in (select book_id from books)")
+def insert_if_absent(s: SparkSession, d: str) -> DataFrame:
+    return store.added(table(s, d, "books").select("book_id", "title", "total_chunks"), _fresh(s, d).select("book_id", "title", "total_chunks"), ["book_id"])
+
+
+@query("select chunk_id, book_id from chunks where book_id is null or book_id not in (select book_id from books where status <> 'indexed')")
+def delete_by_book(s: SparkSession, d: str) -> DataFrame:
+    gone = table(s, d, "books").where("status != 'indexed'")
+    return store.removed(table(s, d, "chunks").select("chunk_id", "book_id"), gone, ["book_id"])
+
+
+@query("select book_id, chunk_id, n from (select book_id, chunk_id, row_number() over (partition by book_id order by chunk_index, chunk_id) n from chunks) where n % 50 = 0")
+def progress_marks(s: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("book_id").orderBy("chunk_index", "chunk_id")
+    return table(s, d, "chunks").select("book_id", "chunk_id", F.row_number().over(order).alias("n")).where("n % 50 = 0")
+
+
+@query("select user_id, event_type, event_id, n from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) n from events) where n <= 10")
+def recent_events(s: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(s, d, "events").withColumn("n", F.row_number().over(order)).where("n <= 10").select("user_id", "event_type", "event_id", "n")
+
+
+@query("select user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) filter (event_type = 'click') last_click, count(*) filter (event_type = 'error') errors, bool_or(event_type = 'purchase') bought from events group by user_id")
+def last_and_any(s: SparkSession, d: str) -> DataFrame:
+    click = F.col("event_type") == "click"
+    return table(s, d, "events").groupBy("user_id").agg(
+        F.max_by(F.when(click, F.col("event_id")), F.when(click, F.struct("ts", "event_id"))).alias("last_click"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.bool_or(F.col("event_type") == "purchase").alias("bought")
+    )
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) events, round(sum(value), 2) value from events group by all")
+def stream_daily_counts(s: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files, counted by day and kind with late ones allowed, run until it has caught up."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    events = ingest.events_of(s, f"{d}/events.parquet").withColumn("ts", F.timestamp_micros(micros))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("w.start") / 86400).cast("int")).cast("string")
+    counts = ingest.windowed_counts(events).select(day.alias("day"), "event_type", "events", "value")
+    done = ingest.drained(counts, ingest.shared_folder(s), ["day", "event_type"])
+    return done.withColumn("value", F.round("value", 2))
