@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexloom.streaming.ingest import ensure_checkpoints
+
 FLOOR, SHARE = 3, 5e-7
 MUCH_RARER = 20
 
@@ -256,8 +258,9 @@ def resolved(forms: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def noise(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", **columns: str) -> DataFrame:
     """(id, noise), one row per record and kind of noise."""
-    frequent = lexicon(chunks, text=text)
-    odd = candidates(chunks, id=id, text=text, **columns)
+    ensure_checkpoints(chunks.sparkSession)
+    frequent = lexicon(chunks, text=text).checkpoint()
+    odd = candidates(chunks, id=id, text=text, **columns).checkpoint()
     sure = odd.where("key is null or key like '!%'").select("id", "noise")
     keyed = odd.where("key is not null and key not like '!%'")
     words = keyed.where("noise = 'misread'")
@@ -336,8 +339,9 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repaired(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", book: str = "book_title", chapter: str = "chapter_title", summary: str = "is_summary") -> DataFrame:
     """(id, paragraphs): every text without the noise, its lines reflowed. Ids must be unique; a null text stays null."""
-    frequent = lexicon(chunks, text=text)
-    odd = candidates(chunks, id=id, text=text, book=book, chapter=chapter, summary=summary)
+    ensure_checkpoints(chunks.sparkSession)
+    frequent = lexicon(chunks, text=text).checkpoint()
+    odd = candidates(chunks, id=id, text=text, book=book, chapter=chapter, summary=summary).checkpoint()
     plain = odd.where("noise = 'misread' and key like '!%'").select("id", "form").distinct()
     glyphs = F.udf(lambda form: skeleton(form), StringType())
     by_word = meanings(chunks, odd, frequent, text=text)
