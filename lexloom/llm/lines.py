@@ -58,14 +58,14 @@ def _cut(rate: float):
     return cut
 
 
-def excess_cells(chunks: DataFrame, *, rate: float = 0.01, floor: int = 5, **columns: str) -> DataFrame:
+def excess_cells(chunks: DataFrame, *, rate: float = 0.01, floor: int = 5, background: int = 10_000, **columns: str) -> DataFrame:
     """(source, key, hits, size, g) of every line whose frequency in its source is a significant excess.
 
     A cell is a line within a source, counted in distinct positions. Its rate is compared with the line's rate
     outside; positions elsewhere in which the line is itself a repeated one (``floor`` or more in that source)
     aren't counted as ordinary use, or a notice shared by many sources would be excess in none. Benjamini and
-    Hochberg's procedure at ``rate`` over all cells picks the significant ones. A single source compares with
-    an empty outside.
+    Hochberg's procedure at ``rate`` over all cells picks the significant ones. Where less than ``background``
+    positions are outside (a single source has none), that many are taken to be, without the line.
     """
     names = {"source": "book_id", "position": "chunk_index"} | {k: v for k, v in columns.items() if k in ("source", "position")}
     positions = chunks.where(F.col(names["source"]).isNotNull()).select(F.col(names["source"]).alias("source"), F.col(names["position"]).alias("position"))
@@ -75,7 +75,7 @@ def excess_cells(chunks: DataFrame, *, rate: float = 0.01, floor: int = 5, **col
     everything = sizes.agg(F.sum("size").alias("n")).scalar()
     repeated = cells.where("hits >= 2").join(ordinary, "key").join(sizes, "source")
     outside = F.col("elsewhere") - F.when(F.col("hits") < floor, F.col("hits")).otherwise(0)
-    n2 = F.greatest(everything - F.col("size"), F.lit(1)).cast("double")
+    n2 = F.greatest(everything - F.col("size"), F.lit(background)).cast("double")
     tested = repeated.select("source", "key", "hits", "size", log_likelihood(F.col("hits").cast("double"), F.col("size").cast("double"), F.least(outside.cast("double"), n2), n2).alias("g"))
     steps = tested.groupBy(F.least(F.floor(F.col("g") * GRAIN), F.lit(GRAIN * TOP)).alias("step")).agg(F.count("*").alias("cells"))
     once = cells.where("hits < 2").agg(F.count("*").alias("cells")).select(F.lit(0).cast("long").alias("step"), "cells")

@@ -186,7 +186,7 @@ def _count_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicon(chunks: DataFrame, *, text: str = "text") -> DataFrame:
     """(form, n) of the frequent plain words."""
     rows = chunks.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    counts = rows.mapInPandas(_count_forms, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    counts = rows.mapInPandas(_count_forms, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).checkpoint()
     least = F.greatest(F.lit(FLOOR), F.ceil(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar() * SHARE))
     return counts.where(F.col("form").rlike("^(?:[a-zß-ÿœ]+|[а-яё]+)$") & (F.length("form") > 2) & (F.col("n") >= least))
 

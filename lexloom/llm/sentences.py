@@ -272,7 +272,7 @@ def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block:
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
-                lead = 0 if r.part == 0 else MARGIN
+                lead = min(MARGIN, r.part * block)
                 first = 0 if r.part == 0 else _edge(r.seen, lead)
                 last = len(r.seen) if r.last else _edge(r.seen, lead + block)
                 kinds, places = symbols(r.seen, first, last)
@@ -294,7 +294,7 @@ def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block:
     long = rows.where(F.length("text") > block).withColumn("row", F.monotonically_increasing_id()).withColumn("blocks", F.ceil(F.length("text") / F.lit(block)).cast("int"))
     cut = long.select("row", "id", "text", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).select(
         "row", "id", "part", (F.col("part") == F.col("blocks") - 1).alias("last"),
-        F.substring("text", F.greatest(F.lit(1), F.col("part") * block - MARGIN + 1), F.lit(block + MARGIN) + F.when(F.col("part") > 0, MARGIN).otherwise(0)).alias("seen"),
+        F.substring("text", F.greatest(F.lit(1), F.col("part") * block - MARGIN + 1), F.least(F.lit(MARGIN), F.col("part") * block) + block + MARGIN).alias("seen"),
     )
     blocks = cut.repartition("row", "part").mapInPandas(parts, f"row long, id {kind}, part int, text string, kinds array<int>, places array<int>, after array<int>")
     return short.unionByName(blocks.groupBy("row").applyInPandas(joined, schema)).withColumnRenamed("id", id)
