@@ -129,8 +129,10 @@ def _unspaced(line: str) -> str:
 
 def is_head(line: str, titles: list[str]) -> bool:
     """Whether the line is a title, whole or cut short at a word, with or without the page."""
-    line = _unspaced(line.strip())
-    for bare in {line, _LEAD.sub("", line), _TRAIL.sub("", line), _TRAIL.sub("", _LEAD.sub("", line))}:
+    line = line.strip()
+    first = _LEAD.sub("", line)
+    whole, first = _unspaced(line), _unspaced(first)
+    for bare in {whole, first, _TRAIL.sub("", whole), _TRAIL.sub("", first)}:
         bare = " ".join(bare.lower().rstrip("… ").split())
         if len(bare) < 8 or " " not in bare:
             continue
@@ -145,7 +147,7 @@ def is_head(line: str, titles: list[str]) -> bool:
 
 
 def _alike(head: str, title: str) -> bool:
-    return sum(a == b for a, b in zip(head[:6], title)) > 2
+    return sum(a == b for a, b in zip(head[:6], title)) > 2 or skeleton(head[:6])[:5] == skeleton(title[:6])[:5]
 
 
 def split_lines(text: str, titles: list[str], summary: bool) -> tuple[list[str], list[str | None]]:
