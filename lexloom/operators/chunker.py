@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import clean_markdown, heading_level, heading_title, line_type, rough_sentences, strip, token_estimate
+from lexloom.operators.order import numbered, with_previous
 
 MOST, LEAST, OVERLAP = 512, 50, 512
 
@@ -52,13 +53,16 @@ def packed(text: Column, most: int = MOST) -> Column:
     return F.when(token_estimate(text) <= most, F.array(text)).otherwise(cut)
 
 
-def overlapped(chunks: DataFrame, *, id: str = "doc_id", order: list[str], most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
-    """Each chunk with the end of the chunk before it, if both are of one path and there is room."""
-    before = Window.partitionBy(id).orderBy(*order)
-    room = F.least(F.lit(overlap), F.lit(4 * most - 1) - F.length("text"))
-    last = F.lag("text").over(before)
-    fits = (F.lag("path").over(before) == F.col("path")) & (room > 0)
-    return chunks.withColumn("text", F.when(fits, F.concat(F.right(last, room), F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
+def _overlap(path: Column, text: Column, last_path: Column, last: Column, most: int, overlap: int) -> Column:
+    room = F.least(F.lit(overlap), F.lit(4 * most - 1) - F.length(text))
+    return F.when((last_path == path) & (room > 0), F.concat(F.right(last, room), F.lit("\n"), text)).otherwise(text)
+
+
+def overlapped(chunks: DataFrame, *, id: str = "doc_id", position: str, then: list[str], most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """Each chunk with the end of the chunk before it, if both are of one path and there is room. The chunks of one
+    id may be any share of all rows."""
+    rows = with_previous(chunks, id, position, then, ["path", "text"])
+    return rows.withColumn("text", _overlap(F.col("path"), F.col("text"), F.col("previous.path"), F.col("previous.text"), most, overlap)).drop("previous")
 
 
 def joined(chunks: Column, least: int = LEAST) -> Column:
@@ -78,7 +82,8 @@ def joined(chunks: Column, least: int = LEAST) -> Column:
 def markdown_chunks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
     """(id, chunk_index, path, type, text) of every document."""
     parts = sections(docs, id=id, text=text).select(id, "section", "path", "type", F.posexplode(packed(F.col("text"), most)).alias("part", "text"))
-    laid = overlapped(parts, id=id, order=["section", "part"], most=most, overlap=overlap)
+    before = Window.partitionBy(id).orderBy("section", "part")
+    laid = parts.withColumn("text", _overlap(F.col("path"), F.col("text"), F.lag("path").over(before), F.lag("text").over(before), most, overlap))
     whole = laid.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("section", "part", "path", "text", "type"))).alias("c"))
     merged = joined(F.transform("c", lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text"), x["type"].alias("type"))), least)
     return whole.select(id, F.posexplode(merged).alias("chunk_index", "m")).select(id, "chunk_index", "m.path", "m.type", "m.text")
@@ -90,6 +95,5 @@ def section_summaries(chunks: DataFrame, *, book: str = "book_id", path: str = "
     named = chunks.where(F.trim(F.coalesce(path, F.lit(""))) != "")
     first = named.groupBy(book, path).agg(F.min(F.struct(F.col(index).alias("i"), F.col(text).alias("t"))).alias("f"))
     total = chunks.groupBy(book).agg(F.count("*").alias("__total"))
-    order = Window.partitionBy(book).orderBy(F.col("f.i"), F.col(path))
-    numbered = first.withColumn("__n", F.row_number().over(order)).join(total, book)
-    return numbered.select(book, path, (F.col("__total") + F.col("__n") - 1).cast("int").alias("chunk_index"), F.concat(F.col(path), F.lit("\n\n"), F.substring(F.coalesce("f.t", F.lit("")), 1, preview)).alias("text"))
+    placed = numbered(first.withColumn("__i", F.col("f.i")), book, "__i", [path], "__n").join(total, book)
+    return placed.select(book, path, (F.col("__total") + F.col("__n") - 1).cast("int").alias("chunk_index"), F.concat(F.col(path), F.lit("\n\n"), F.substring(F.coalesce("f.t", F.lit("")), 1, preview)).alias("text"))

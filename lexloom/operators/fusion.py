@@ -39,3 +39,17 @@ def with_sections(hits: DataFrame, chunks: DataFrame, *, query: str = "qid", mos
     body = chunks.where(~summary).select("chunk_id", "chunk_index", *section).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
     found = named.join(body, section).select(query, "chunk_id", F.lit("section").alias("via")).unionByName(hits.select(query, "chunk_id", F.lit("hit").alias("via")))
     return found.groupBy(query, "chunk_id").agg(F.min("via").alias("via"))
+
+
+def section_chunks(chunks: DataFrame, book: str, chapter: str, section: str, most: int = 50) -> DataFrame:
+    """The first chunks of one section, no summaries, in order."""
+    own = (F.col("book_id") == book) & (F.col("chapter_title") == chapter) & (F.col("section_title") == section)
+    return chunks.where(own & ~F.coalesce("is_summary", F.lit(False))).orderBy("chunk_index", "chunk_id").limit(most)
+
+
+def matching(language: str | None = None, books: list[str] | None = None) -> Column:
+    """The filter of a search: a language (en or bg, else any) and books (none: all)."""
+    found = F.lit(True)
+    if language in ("en", "bg"):
+        found = found & (F.col("language") == language)
+    return found & F.col("book_id").isin(books) if books else found

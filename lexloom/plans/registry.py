@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import ids, text, vectors, web
-from lexloom.operators import bm25, chunker, dense, dictionary, fusion, rag, store
+from lexloom.operators import bm25, chunker, dense, dictionary, embed, fusion, order, rag, store
 from lexloom.sources.tables import table, table_rows
 from lexloom.streaming import ingest
 
@@ -168,6 +168,15 @@ def dense_quantized_topk(s: SparkSession, d: str) -> DataFrame:
     return dense.rescored_top_k(_asked(e, "vec_id", "embedding"), e, k=5)
 
 
+@query()
+def embedded_topk(s: SparkSession, d: str) -> DataFrame:
+    """Nearest documents by vectors that are made of their words, of one's own language."""
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", "text", "lang")
+    made = embed.with_vectors(docs, embed.hashing(128), kind="passage")
+    asked = embed.with_vectors(docs.where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "qid"), embed.hashing(128), kind="query")
+    return dense.top_k(asked, made, id="doc_id", vector="vector", label="lang", k=5)
+
+
 @query(f"with {_search_sql(15)}, {_dense_sql(15)}, h as (select qid, doc_id, rank from sparse union all select qid, vec_id, rank from dense), f as (select qid, doc_id, round(sum(1.0::double / (60 + rank)), 9) score from h group by all) select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from f) where rank <= 5")
 def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
     """Keyword and vector hits, three times as many as asked for, fused by rank; vec_id is the doc_id."""
@@ -195,6 +204,19 @@ def retrieval_loop(s: SparkSession, d: str) -> DataFrame:
     return rag.retrieve(asked, docs, search, gates=rag.Gates(confident=4.0, answer=0.0, retry=-4.0, passes=2))
 
 
+@query(f"""with {_IDF}, u as (select chunk_id, unnest({_TERMS.format('text')}) term from body), e as (select chunk_id, term, idf * count(*) * 2.5 / (count(*) + 1.5) w from u join idf using (term) group by chunk_id, term, idf),
+v as (select chunk_id, string_agg(term, ' ' order by term) terms, count(*) entries, round(sum(w), 4) weight from e group by chunk_id)
+select c.chunk_id, lower(content_type) content_type, coalesce(is_summary, false) is_summary, array_to_string(list_filter(icd_codes, lambda x: x <> ''), ',') icd_codes, v.terms, coalesce(v.entries, 0) entries, v.weight from chunks c left join v using (chunk_id)""")
+def index_points(s: SparkSession, d: str) -> DataFrame:
+    """What an index keeps of a chunk: its payload and its sparse vector in the order of terms, none where it has no entries."""
+    chunks = table(s, d, "chunks")
+    made = bm25.sparse_vectors(bm25.postings(_body(s, d), _weights(s, d), id="chunk_id"), id="chunk_id")
+    sums = F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 4)
+    payload = chunks.select("chunk_id", F.lower("content_type").alias("content_type"), F.coalesce("is_summary", F.lit(False)).alias("is_summary"), F.array_join(F.filter("icd_codes", lambda x: x != ""), ",").alias("icd_codes"))
+    kept = made.select("chunk_id", F.array_join("terms", " ").alias("terms"), F.size("terms").alias("entries"), sums.alias("weight"))
+    return payload.join(kept, "chunk_id", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+
+
 # chunks and sections
 
 
@@ -225,7 +247,7 @@ def rough_sentences(s: SparkSession, d: str) -> DataFrame:
 select chunk_id, case when p = chapter_title and 2047 - length(text) > 0 then right(t, least(512, 2047 - length(text))) || chr(10) || text else text end as text from o""")
 def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "chunks").where("text is not null").select("chunk_id", "book_id", "chunk_index", F.col("chapter_title").alias("path"), "text")
-    return chunker.overlapped(rows, id="book_id", order=["chunk_index", "chunk_id"]).select("chunk_id", "text")
+    return chunker.overlapped(rows, id="book_id", position="chunk_index", then=["chunk_id"]).select("chunk_id", "text")
 
 
 _PATH = "case when coalesce(section_title, '') = '' then chapter_title else chapter_title || ' > ' || section_title end"
@@ -432,14 +454,14 @@ def delete_by_book(s: SparkSession, d: str) -> DataFrame:
 
 @query("select book_id, chunk_id, n from (select book_id, chunk_id, row_number() over (partition by book_id order by chunk_index, chunk_id) n from chunks) where n % 50 = 0")
 def progress_marks(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("book_id").orderBy("chunk_index", "chunk_id")
-    return table(s, d, "chunks").select("book_id", "chunk_id", F.row_number().over(order).alias("n")).where("n % 50 = 0")
+    rows = table(s, d, "chunks").select("book_id", "chunk_index", "chunk_id")
+    return order.numbered(rows, "book_id", "chunk_index", ["chunk_id"]).where("n % 50 = 0").select("book_id", "chunk_id", "n")
 
 
 @query("select user_id, event_type, event_id, n from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) n from events) where n <= 10")
 def recent_events(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(s, d, "events").withColumn("n", F.row_number().over(order)).where("n <= 10").select("user_id", "event_type", "event_id", "n")
+    newest = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(s, d, "events").withColumn("n", F.row_number().over(newest)).where("n <= 10").select("user_id", "event_type", "event_id", "n")
 
 
 @query("select user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) filter (event_type = 'click') last_click, count(*) filter (event_type = 'error') errors, bool_or(event_type = 'purchase') bought from events group by user_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +51,33 @@ def drained(result: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     values = [c for c in result.columns if c not in keys]
     last = state.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
     return last.select(*keys, "last.*")
+
+
+def worked(jobs: DataFrame, handle: Callable[[Row], None], folder: str) -> DataFrame:
+    """Runs a stream of jobs one after the other until it has caught up; gives (batch, job, state, error) of each.
+
+    A job that fails doesn't stop the others. Jobs of a batch that ran only in part run again, so ``handle`` must be
+    a keyed change; their status is then written anew. A batch holds the jobs of the files of one trigger.
+    """
+    spark = jobs.sparkSession
+    out = f"{folder}/status"
+
+    def batch_of(rows: DataFrame, batch: int) -> None:
+        done = []
+        for job in rows.collect():
+            try:
+                handle(job)
+                done.append((batch, json.dumps(job.asDict(), default=str), "done", None))
+            except Exception as problem:  # noqa: BLE001
+                done.append((batch, json.dumps(job.asDict(), default=str), "failed", str(problem)[:500]))
+        spark.createDataFrame(done, "batch long, job string, state string, error string").coalesce(1).write.mode("overwrite").parquet(f"{out}/{batch}")
+
+    query = jobs.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(batch_of).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/*")
+
+
+def interrupted(status: DataFrame, *, state: str = "state", error: str = "error") -> DataFrame:
+    """The status rows after a restart: what was running has failed."""
+    running = F.col(state) == "running"
+    return status.withColumn(error, F.when(running, "interrupted").otherwise(F.col(error))).withColumn(state, F.when(running, "failed").otherwise(F.col(state)))

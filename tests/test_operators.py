@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import bm25, chunker, dense, dictionary, fusion, rag, store
+from lexloom.operators import bm25, chunker, dense, dictionary, embed, fusion, order, rag, store
 from lexloom.sources import tables
 from lexloom.streaming import ingest
 
@@ -166,10 +166,43 @@ def test_chunker_by_brute_force(spark):
 
 def test_overlap_example(spark):
     rows = spark.createDataFrame([(1, 0, "p", "a" * 600), (1, 1, "p", "b" * 600)], "doc_id int, n int, path string, text string")
-    second = chunker.overlapped(rows, order=["n"]).where("n = 1").first().text
+    second = chunker.overlapped(rows, position="n", then=["path"]).where("n = 1").first().text
     assert second == "a" * 512 + "\n" + "b" * 600
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_order_in_blocks(spark, block):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 40), i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "k string, p int, i int")
+    n = {r.i: r.n for r in order.numbered(frame, "k", "p", ["i"], block=block).collect()}
+    before = {r.i: r.previous and r.previous.i for r in order.with_previous(frame, "k", "p", ["i"], ["i"], block=block).collect()}
+    for k in ("a", "b", None):
+        own = [i for _, _, i in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:])]
+        assert [n[i] for i in own] == [*range(1, len(own) + 1)]
+        assert [before[i] for i in own] == [None, *own[:-1]]
+
+
+def test_embedder(spark):
+    texts = spark.createDataFrame([(1, "fever and cough"), (2, "Cough, fever and"), (3, ""), (4, None), (5, "other words")], "id int, text string").withColumn("vector", F.lit(0))
+    got = {r.id: r.vector for r in embed.with_vectors(texts.drop("vector"), embed.hashing(64), kind="passage").collect()}
+    assert np.allclose(got[1], got[2]) and not np.allclose(got[1], got[5])
+    assert math.isclose(np.linalg.norm(got[1]), 1, rel_tol=1e-5) and not any(got[3]) and got[4] is None
+    assert np.allclose(embed.mean_pooled(np.array([[1.0, 2], [3, 4]])), np.array([2, 3]) / math.sqrt(13))
+
+
+def test_pairs(spark):
+    r = spark.sql("select array(101, 5, 102) q, array(101, 7, 8, 102) p, array_repeat(1, 600) long").select(embed.pair(F.col("q"), F.col("p")).alias("x"), F.size(embed.pair(F.col("q"), F.col("long"))["ids"]).alias("n")).first()
+    assert r.n == 512 and r.x.ids == [101, 5, 102, 7, 8, 102] and r.x.types == [0, 0, 0, 1, 1, 1]
+
+
+def test_source_labels(spark):
+    kind = "struct<kind: string, title: string, page_start: int, page_end: int, name: string>"
+    given = [(("book", "T", 3, 5, None), "T, p. 3–5"), (("book", None, 3, 3, None), "Book, p. 3"), (("book", "T", None, None, None), "T"), (("web", None, None, None, "N"), "N"), (("web", None, None, None, None), "Web source"), (None, "Source 7")]
+    rows = spark.createDataFrame([(n, s, 7) for n, (s, _) in enumerate(given)], f"n int, s {kind}, m int")
+    assert [r.x for r in rows.orderBy("n").select(embed.source_label(F.col("s"), F.col("m")).alias("x")).collect()] == [w for _, w in given]
+
+
 def test_dictionary(spark):
     ills = spark.createDataFrame([("E05.0", "Graves disease", "Болест на Гравес"), ("q1.0", "Fever", None)], "icd_code string, name_en string, name_bg string")
     aliases = spark.createDataFrame([("E05.0", "Базедова болест"), ("E05.0", "гравес"), ("E05.0", "  ")], "icd_code string, alias string")
@@ -273,3 +306,44 @@ def test_stream_runs_again(spark, tmp_path):
     spark.sql(rows.format(30, 40)).coalesce(1).write.parquet(str(tmp_path / "in" / "x2.parquet"))
     for _ in range(2):  # with new files, then with nothing new
         assert {(r.events) for r in ingest.drained(counts(), str(tmp_path / "run"), keys).collect()} == {24, 16}
+
+
+def test_index_again(spark, tmp_path):
+    from lexloom.plans import index
+
+    body = "Fever and cough in children. " * 12
+    ills = spark.createDataFrame([("q1.0", "Fever", "Треска")], "icd_code string, name_en string, name_bg string")
+    books = spark.createDataFrame([("a", f"# One\n## First part\n{body}\n## Second part\n{body} rash"), ("b", f"# Two\n{body}"), ("c", None)], "book_id string, text string")
+    path = str(tmp_path / "index")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    for given in (books, books, books.where("book_id = 'b'")):
+        index.write(index.index(given, ills), path)
+        assert read("chunks").groupBy("book_id", "is_summary").count().count() == 4
+        assert {(r.book_id, r.chunk_count) for r in read("stats").collect()} == {("a", 2), ("b", 1)}
+        assert {(r.term, r.document_frequency) for r in bm25.vocabulary(read("terms")).where("term in ('fever', 'rash')").collect()} == {("fever", 3), ("rash", 1)}
+        assert read("tags").count() == 3 and {r.chunk_index for r in read("chunks").where("is_summary and book_id = 'a'").collect()} == {2, 3}
+        assert read("outlines").where("book_id = 'a'").first().outline == "First part\nSecond part"
+
+
+def test_jobs(spark, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([(n, "index")], "id int, kind string").coalesce(1).write.parquet(str(tmp_path / "jobs" / f"{n}.parquet"))
+    jobs = lambda: spark.readStream.schema("id int, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "jobs" / "*.parquet"))
+    seen = []
+
+    def handle(job):
+        seen.append(job.id)
+        if job.id == 1:
+            raise ValueError("no such book")
+
+    for _ in range(2):
+        status = ingest.worked(jobs(), handle, str(tmp_path / "run")).collect()
+        assert sorted(r.state for r in status) == ["done", "done", "failed"] and sorted(seen) == [0, 1, 2]
+    rows = spark.createDataFrame([("running", None), ("done", None)], "state string, error string")
+    assert {tuple(r) for r in ingest.interrupted(rows).collect()} == {("failed", "interrupted"), ("done", None)}
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([("a", "c", "s", i, i, "en" if i % 2 else "bg", i == 3) for i in range(6)], "book_id string, chapter_title string, section_title string, chunk_index int, chunk_id int, language string, is_summary boolean")
+    assert [r.chunk_id for r in fusion.section_chunks(rows, "a", "c", "s", 4).collect()] == [0, 1, 2, 4]
+    assert rows.where(fusion.matching("en", ["a"])).count() == 3 and rows.where(fusion.matching("both")).count() == 6 and rows.where(fusion.matching(None, ["x"])).count() == 0
