@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.streaming.ingest import ensure_checkpoints
+
 from .tokens import token_counts
 
 BLOCK = 2048
@@ -102,9 +104,16 @@ def _decide(last: bool, seed: int):
     return decide
 
 
-def select_mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", keep_shares: bool = False, seed: int = 1, block: int = BLOCK) -> DataFrame:
+def sized_documents(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(id, source, tokens) of every document, kept in a checkpoint: it is read several times and made by encoding."""
+    ensure_checkpoints(docs.sparkSession)
+    named = docs.withColumn("__source", source_name(F.col(source)))
+    return token_counts(named, id=id, text=text, keep=("__source",)).select(F.col(id).alias("id"), F.col("__source").alias("source"), "tokens").checkpoint()
+
+
+def select_mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", keep_shares: bool = False, seed: int = 1, block: int = BLOCK, sized: DataFrame | None = None) -> DataFrame:
     """(mix, id, source, tokens, copies) of every document that is used, ``copies`` times."""
-    sized = token_counts(docs.withColumn("__source", source_name(F.col(source))), id=id, text=text, keep=("__source",)).select(F.col(id).alias("id"), F.col("__source").alias("source"), "tokens")
+    sized = sized_documents(docs, id=id, source=source, text=text) if sized is None else sized
     sizes = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("has"))
     aims = plan(sizes, targets, keep_shares=keep_shares).where("rate > 0").select("mix", "source", "rate", "docs")
     rows = sized.where("source is not null and tokens > 0").join(aims, "source")
@@ -121,6 +130,7 @@ def select_mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", sourc
         blocks = F.lit(1).cast("long") if last else F.greatest(F.lit(1), F.ceil(F.col("blocks") / F.lit((block // 2) ** n))).cast("long")
         rows = rows.withColumn("part", F.pmod("order", blocks)).groupBy("mix", "source", "part").applyInPandas(_decide(last, seed), f"{schema}, part long").drop("part")
         if not last:
+            rows = rows.checkpoint()  # it is read twice, and drawn
             done = done.unionByName(rows.where("chance <= 0 or chance >= 1"))
             rows = rows.where("chance > 0 and chance < 1")
     used = done.unionByName(rows).withColumn("copies", F.col("whole") + F.round("chance").cast("int"))
@@ -129,9 +139,9 @@ def select_mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", sourc
 
 def mix_report(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", keep_shares: bool = False, seed: int = 1) -> DataFrame:
     """One row per mix and source: what was aimed at and the share that was reached."""
-    sized = token_counts(docs.withColumn("__source", source_name(F.col(source))), id=id, text=text, keep=("__source",))
-    sizes = sized.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("docs"), F.sum("tokens").alias("has"))
-    chosen = select_mix(docs, targets, id=id, source=source, text=text, keep_shares=keep_shares, seed=seed)
+    sized = sized_documents(docs, id=id, source=source, text=text)
+    sizes = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("has"))
+    chosen = select_mix(docs, targets, id=id, source=source, text=text, keep_shares=keep_shares, seed=seed, sized=sized)
     reached = chosen.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"), F.count("*").alias("used_docs"), F.max("copies").alias("most_copies"))
     whole = reached.groupBy("mix").agg(F.sum("reached").alias("of_mix"))
     zero = F.coalesce(F.col("reached"), F.lit(0))
