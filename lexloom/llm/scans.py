@@ -53,12 +53,18 @@ _BEHIND = re.compile(rf"\s+([^\W\d][^\s/|{HYPHENS}]*)")
 #: letters that start alike
 _FIRST = dict(zip("аеорсхукмтнвзбi1|!0369456", "aeopcxykmthb36lllo369456"))
 
-# fixed values: the ways a line gives a page
+# well-formed Roman numerals in one case; units and words that look like one are none
+_NUMERAL = "m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+ROMAN = rf"(?!(?:mm|cm|dl|mi|di|mix|dix)\b)(?=[ivxlcdm])(?-i:{_NUMERAL}|{_NUMERAL.upper()})(?![^\W_])"
+# fixed values: the ways a line gives a page; (c) or d) is a letter of a list
+_PAGE_WORDS = "стр|страница|страници|page|seite|p|pp|pg|s|с|c"
+_OF = r"[ \t]*(?:/|of|от|из|von|sur|de)[ \t]*"
 PAGE = re.compile(
-    r"[ \t]*(?:[-—–·•*~\[/(|]?[ \t]*\d{1,4}[ \t]*[-—–·•*~\]/)|]?|(?:стр|страница|страници|page|seite|p|pp|pg|s|с|c)\.?[ \t]*\d{1,4}(?:[ \t]*(?:/|of|от|из|von|sur|de)[ \t]*\d{1,4})?)[ \t\r]*",
+    rf"[ \t]*(?:[-—–·•*~\[/(|]?[ \t]*(?:\d{{1,4}}|(?![cdlm][)\]]){ROMAN})[ \t]*[-—–·•*~\]/)|]?"
+    rf"|(?:{_PAGE_WORDS})\.?[ \t]*\d{{1,4}}(?:{_OF}\d{{1,4}})?|(?:{_PAGE_WORDS})(?:\.[ \t]*|[ \t]+){ROMAN}(?:{_OF}(?:{ROMAN}|\d{{1,4}}))?)[ \t\r]*",
     re.IGNORECASE,
 )
-_NUMBERED = re.compile(r"[ \t]*\d{1,4}\.[ \t\r]*")
+_NUMBERED = re.compile(rf"[ \t]*(?:\d{{1,4}}|(?=[a-z]{{2}}){ROMAN})\.[ \t\r]*")
 _ENDED = re.compile(r"[.!?…:;”“»|)\]]\s*$")
 _LEAD, _TRAIL = re.compile(r"^\d{1,4}[\s|·—–-]+"), re.compile(r"[\s|·—–-]+\d{1,4}$")
 

@@ -317,3 +317,13 @@ def test_noise(spark):
 @pytest.mark.parametrize("line, wanted", [("12", 1), ("— 12 —", 1), ("[7]", 1), ("стр. 9", 1), ("Page 3 of 10", 1), ("S.3/10", 1), ("• 4", 1), ("T4: 12", 0), ("23.0 mg", 0), ("Hb 20 g/l", 0), ("B12 = 40", 0), ("SpO2 93%", 0), ("2–18", 0)])
 def test_page_lines(line, wanted):
     assert bool(scans.PAGE.fullmatch(line)) == bool(wanted)
+
+
+@pytest.mark.parametrize("line, wanted", [("xvii", 1), ("LVII", 1), ("— xiv —", 1), ("[iv]", 1), ("p. xii", 1), ("Стр. IX", 1), ("page ii of xx", 1), ("iix", 0), ("xivx", 0), ("Dix", 0), ("mm", 0), ("six", 0), ("(c)", 0), ("d)", 0), ("vitamin", 0), ("x ray", 0)])
+def test_page_lines_in_roman_numerals(line, wanted):
+    assert bool(scans.PAGE.fullmatch(line)) == bool(wanted)
+
+
+def test_numbered_roman_lines():
+    assert scans.split_lines("It rises in the\nxvii\nmorning.\nxii.\nand falls", [], False)[1] == [None, "page_number", None, "page_number", None]
+    assert scans.split_lines("is one of\nc.\nThe next", [], False)[1] == [None] * 3
