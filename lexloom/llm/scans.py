@@ -1,7 +1,9 @@
 """Problem 2: noise in text from scanned pages, and its repair.
 
 Words are grouped by the skeleton that confusable glyphs share; a form that looks misread, or is much rarer than
-another of its group, is one, if the group has a frequent form. A word broken at a line's end counts if its
+another of its group, is one, if the group has a frequent form. Where plain letters differ by more than two that look
+like one, the frequent form must also be much more frequent after the same left neighbours. What a hyphenation mark
+leaves of a word is no form. A word broken at a line's end counts if its
 joined form is frequent. Running heads are lines that agree with the title of their book or chapter after the
 page's digits are masked. The repair replaces misread words by the frequent form that its left neighbours
 support best, drops heads and page numbers, joins broken words and reflows lines into paragraphs with windows.
@@ -16,9 +18,11 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ from lexloom.streaming.ingest import ensure_checkpoints
 
 FLOOR, SHARE = 3, 5e-7
 MUCH_RARER = 20
+#: bits of a filter of forms: of bounded size, what it lets through is joined exactly
+BITS = 1 << 22
 
 # fixed values: what scanners confuse, in words with Cyrillic letters and in others
 CYRILLIC_PAIRS = {"rvi": "м", "iii": "ш", "n_": "д", "}{": "ж"}
@@ -42,7 +48,7 @@ _CYRILLIC = re.compile(r"[а-яё]")
 _PURE = re.compile(r"[a-zß-ÿœ]+|[а-яё]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _PIECE = re.compile(r"""[^\s/\-‐‑–—’'()\[\]«»„“”",.;:?…]+""")
-_PAIR = re.compile("rn|cl|vv|li")
+_PAIRED = re.compile("rn|cl|vv|li|m|d|w|h")
 _GLYPHS = re.compile(r"[0-9^~°¬|!\\¦_}{]")
 _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|e|er|re|me|ème|го|ти|ви|ри|ия|ый|ой|та|на)?")
 _STRONG = re.compile(r"[а-яёaeopcxykmthbçãőñõ]*")
@@ -101,13 +107,11 @@ def _pair_skeletons(forms: pd.Series) -> pd.Series:
 
 
 def suspect(piece: str) -> str | None:
-    """The key under which a misread word would be found: of any frequent form (s:), of one much more frequent
-    (p:), or none needed (!); None if nothing about the word is odd."""
+    """The key under which a misread word that isn't of plain letters would be found: of any frequent form (s:),
+    or none needed (!); None if nothing about the word is odd."""
     form = piece.strip("!|\\*#•·<>=+%&§$€{}_¬\xad").lower()
-    if len(form) < 3 or _ORDINAL.fullmatch(form):
+    if len(form) < 3 or _ORDINAL.fullmatch(form) or _PURE.fullmatch(form):
         return None
-    if _PURE.fullmatch(form):
-        return "p:" + pair_skeleton(form) if _PAIR.search(form) else None
     letters = sum(c.isalpha() for c in form)
     if letters < 2 or letters * 2 < len(form):
         return None
@@ -191,18 +195,47 @@ def _count_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"form": [*counts], "n": [*counts.values()]})
 
 
-def lexicon(chunks: DataFrame, *, text: str = "text") -> DataFrame:
-    """(form, n) of the frequent plain words."""
+def plain_forms(chunks: DataFrame, *, text: str = "text") -> DataFrame:
+    """(form, n) of all plain words."""
     rows = chunks.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     counts = rows.mapInPandas(_count_forms, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).checkpoint()
-    least = F.greatest(F.lit(FLOOR), F.ceil(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar() * SHARE))
-    return counts.where(F.col("form").rlike("^(?:[a-zß-ÿœ]+|[а-яё]+)$") & (F.length("form") > 2) & (F.col("n") >= least))
+    return counts.where(F.col("form").rlike("^(?:[a-zß-ÿœ]+|[а-яё]+)$") & (F.length("form") > 2))
+
+
+def lexicon(forms: DataFrame) -> DataFrame:
+    """(form, n) of the frequent plain words."""
+    least = F.greatest(F.lit(FLOOR), F.ceil(forms.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar() * SHARE))
+    return forms.where(F.col("n") >= least)
 
 
 def groups(frequent: DataFrame) -> DataFrame:
     """(key, form, n): the frequent words under the skeletons by which others find them."""
-    plain = frequent.where(F.col("form").rlike("^[a-zß-ÿœ]+$") & F.col("form").rlike("rn|cl|vv|li|m|d|w|h"))
-    return frequent.select(_skeletons("form").alias("key"), "form", "n").unionByName(plain.select(_pair_skeletons("form").alias("key"), "form", "n"))
+    return frequent.select(_skeletons("form").alias("key"), "form", "n")
+
+
+def plain_pairs(forms: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(form, meant, n, sure) of the plain words with a much more frequent one of the same skeleton; sure if they
+    differ by two letters that look like one, either way."""
+    latin = F.col("form").rlike("^[a-zß-ÿœ]+$")  # no two plain Cyrillic words have the same skeleton
+    keyed = lambda some: some.where(latin).select(_skeletons("form").alias("key"), _pair_skeletons("form").alias("pair"), "form", "n")
+    meant = keyed(frequent).withColumnsRenamed({"form": "meant", "n": "most", "pair": "other"})
+    pairs = keyed(forms).join(meant, "key").where((F.col("meant") != F.col("form")) & (F.col("most") >= MUCH_RARER * F.col("n")))
+    return pairs.select("form", "meant", F.col("most").alias("n"), (F.col("pair") == F.col("other")).alias("sure"))
+
+
+def filter_of(forms: DataFrame) -> bytes:
+    """The bits of the forms; another form may have the same."""
+    at = F.crc32(F.col("form").cast("binary")) % BITS
+    rows = forms.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(crc32(cast(form as binary)) % {BITS} % 64 as int))")).alias("bits")).collect()
+    words = np.zeros(BITS // 64, dtype="<i8")
+    for row in rows:
+        words[row["word"]] = row["bits"]
+    return words.tobytes()
+
+
+def _has(bits: bytes, form: str) -> bool:
+    at = zlib.crc32(form.encode()) % BITS
+    return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
 def broken_words(text: str) -> Iterator[tuple[int, int, str]]:
@@ -222,91 +255,146 @@ def broken_words(text: str) -> Iterator[tuple[int, int, str]]:
 _OUTER = "()[]«»„“”\",.;:?…!|*'’"
 
 
-def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, str | None] = {}
-    for rows in batches:
-        out: set[tuple] = set()
-        for id_, text, book, chapter, summary in rows[["id", "text", "book", "chapter", "summary"]].itertuples(index=False, name=None):
-            lines, kinds = split_lines(text, [t for t in (_title(book), _title(chapter)) if len(t) > 7], bool(summary))
-            out.update((id_, k, None, None) for k in kinds if k)
-            for piece in _PIECE.findall(text):
-                if piece in known:
-                    key = known[piece]
-                else:
-                    if len(known) > 300_000:
-                        known.clear()
-                    key = known[piece] = suspect(piece)
-                if key:
-                    out.add((id_, "misread", key, piece.strip("!|\\*#•·<>=+%&§$€{}_¬\xad").lower()))
-            body = "\n".join(l for l, k in zip(lines, kinds) if not k) if any(kinds) else text
-            for _, _, word in broken_words(body):
-                word = word.lower()
-                if 3 < len(word) < 60:
-                    out.add((id_, "hyphenation", "s:" + skeleton(word), word))
-                    key = suspect(word)
-                    if key:
-                        out.add((id_, "misread", key, word))
-        if out:
-            yield pd.DataFrame([*out], columns=["id", "noise", "key", "form"])
+def _trimmed(piece: str) -> str:
+    return piece.strip("!|\\*#•·<>=+%&§$€{}_¬\xad").lower()
+
+
+def _suspects(odd: bytes, near: bytes):
+    def looked_up(piece: str) -> tuple[str | None, str] | None:
+        form = _trimmed(piece)
+        if len(form) > 2 and _PURE.fullmatch(form):
+            return ("p", form) if _has(odd, form) else ("", form) if _has(near, form) else None
+        key = suspect(piece)
+        return (key, form) if key else None
+
+    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[str | None, str] | None] = {}
+        lefts: Counter[tuple[str, str]] = Counter()
+
+        def counted() -> list[tuple]:
+            return [(None, "left", left, form, n) for (left, form), n in lefts.items() if _PURE.fullmatch(left)]
+
+        columns = ["id", "noise", "key", "form", "n"]
+        for rows in batches:
+            out: set[tuple] = set()
+            for id_, text, book, chapter, summary in rows[["id", "text", "book", "chapter", "summary"]].itertuples(index=False, name=None):
+                lines, kinds = split_lines(text, [t for t in (_title(book), _title(chapter)) if len(t) > 7], bool(summary))
+                out.update((id_, k, None, None, None) for k in kinds if k)
+                plain, left = False, ""
+                for piece in _PIECE.findall(text):
+                    if piece in known:
+                        found = known[piece]
+                    else:
+                        if len(known) > 300_000:
+                            known.clear()
+                        found = known[piece] = looked_up(piece)
+                    if found:
+                        if found[0] == "p":
+                            plain = True
+                        elif found[0]:
+                            out.add((id_, "misread", *found, None))
+                        else:
+                            lefts[left.lower(), found[1]] += 1
+                    left = piece
+                if plain:  # what a hyphenation mark leaves of a word is none
+                    parts, left = [(a, b) for a, b, _ in broken_words(text)], ""
+                    for m in _PIECE.finditer(text):
+                        found = known.get(m.group()) or looked_up(m.group())
+                        if found and found[0] == "p" and not any(a < m.end() and m.start() < b for a, b in parts):
+                            out.add((id_, "misread", *found, None))
+                            if _has(near, found[1]):
+                                lefts[left.lower(), found[1]] += 1
+                        left = m.group()
+                body = "\n".join(l for l, k in zip(lines, kinds) if not k) if any(kinds) else text
+                for _, _, word in broken_words(body):
+                    word = word.lower()
+                    if 3 < len(word) < 60:
+                        out.add((id_, "hyphenation", "s:" + skeleton(word), word, None))
+                        form = _trimmed(word)
+                        key = ("p" if _has(odd, form) else "j" if _PAIRED.search(form) else None) if _PURE.fullmatch(form) else suspect(word)
+                        if key:
+                            out.add((id_, "misread", key, form, None))
+            if len(lefts) > 200_000:
+                out.update(counted())
+                lefts.clear()
+            if out:
+                yield pd.DataFrame([*out], columns=columns)
+        if lefts:
+            yield pd.DataFrame(counted(), columns=columns)
+
+    return suspects
+
+
+def candidates(chunks: DataFrame, pairs: DataFrame, *, id: str = "chunk_id", text: str = "text", book: str = "book_title", chapter: str = "chapter_title", summary: str = "is_summary") -> DataFrame:
+    """(id, noise, key, form, n): lines that are noise (no key), and words that are if their key has a frequent form,
+    or the pairs have their form (key p; j for a broken word that is nowhere whole). Rows of no id say how often a
+    form (noise left) stands after the word that is its key."""
+    rows = chunks.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.coalesce(summary, F.lit(False)).alias("summary"))
+    unsure = pairs.where("not sure")
+    scan = _suspects(filter_of(pairs.select("form")), filter_of(unsure.select("form").unionByName(unsure.select(F.col("meant").alias("form")))))
+    return rows.mapInPandas(scan, f"id {dict(rows.dtypes)['id']}, noise string, key string, form string, n long")
 
 
-def candidates(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", book: str = "book_title", chapter: str = "chapter_title", summary: str = "is_summary") -> DataFrame:
-    """(id, noise, key, form): lines that are noise (no key), and words that are if their key has a frequent form."""
-    rows = chunks.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.coalesce(summary, F.lit(False)).alias("summary"))
-    return rows.mapInPandas(_suspects, f"id {dict(rows.dtypes)['id']}, noise string, key string, form string")
+def supported(pairs: DataFrame, odd: DataFrame) -> DataFrame:
+    """The pairs that are sure, and those whose meant form is much more frequent after the left neighbours of half of
+    the odd form's occurrences or more."""
+    lefts = odd.where("noise = 'left'").groupBy(F.col("key").alias("left"), "form").agg(F.sum("n").alias("times"))
+    after = pairs.where("not sure").join(lefts, "form")
+    both = after.join(lefts.withColumnsRenamed({"form": "meant", "times": "both"}), ["left", "meant"], "left")
+    there = F.col("both") >= F.greatest(F.lit(FLOOR), MUCH_RARER * F.col("times"))
+    shares = both.groupBy("form", "meant", "n").agg(F.sum("times").alias("all"), F.sum(F.when(there, F.col("times")).otherwise(0)).alias("good"))
+    return pairs.where("sure").select("form", "meant", "n").unionByName(shares.where("2 * good >= all").select("form", "meant", "n"))
+
+
+def misread_forms(odd: DataFrame, forms: DataFrame, frequent: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(form, meant, n) of the misread forms that have a frequent form, with each one they may stand for."""
+    words = odd.where("noise = 'misread' and key is not null and key not like '!%'")
+    glyphs = resolved(words.where("key like 's:%'"), frequent).select("form", "meant", "n")
+    only = words.where("key = 'j'").select("form").distinct().join(forms, "form", "left_anti").withColumn("n", F.lit(1).cast("long"))
+    joined = plain_pairs(only, frequent).where("sure").select("form", "meant", "n")
+    return glyphs.unionByName(supported(pairs, odd)).unionByName(joined)
 
 
 def resolved(forms: DataFrame, frequent: DataFrame) -> DataFrame:
     """(key, form, meant, n) of the odd forms that have a frequent form, with each one they may stand for."""
     meant = groups(frequent).withColumnsRenamed({"form": "meant"})
-    own = frequent.select(F.col("form"), F.col("n").alias("own"))
-    pairs = forms.select("key", "form").distinct().join(meant, "key").join(own, "form", "left")
-    return pairs.where((F.col("meant") != F.col("form")) & (F.col("key").startswith("s:") | (F.col("n") >= MUCH_RARER * F.coalesce("own", F.lit(1))))).select("key", "form", "meant", "n")
+    return forms.select("key", "form").distinct().join(meant, "key").where(F.col("meant") != F.col("form")).select("key", "form", "meant", "n")
 
 
 def noise(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", **columns: str) -> DataFrame:
     """(id, noise), one row per record and kind of noise."""
     ensure_checkpoints(chunks.sparkSession)
-    frequent = lexicon(chunks, text=text).checkpoint()
-    odd = candidates(chunks, id=id, text=text, **columns).checkpoint()
-    sure = odd.where("key is null or key like '!%'").select("id", "noise")
-    keyed = odd.where("key is not null and key not like '!%'")
-    words = keyed.where("noise = 'misread'")
-    misread = words.join(resolved(words, frequent).select("key", "form").distinct(), ["key", "form"], "left_semi")
-    broken = keyed.where("noise = 'hyphenation'").join(groups(frequent).select("key").distinct(), "key", "left_semi")
+    forms = plain_forms(chunks, text=text)
+    frequent = lexicon(forms)
+    pairs = plain_pairs(forms, frequent).checkpoint()
+    odd = candidates(chunks, pairs, id=id, text=text, **columns).checkpoint()
+    sure = odd.where("noise != 'left' and (key is null or key like '!%')").select("id", "noise")
+    words = odd.where("noise = 'misread' and key is not null and key not like '!%'")
+    misread = words.join(misread_forms(odd, forms, frequent, pairs).select("form").distinct(), "form", "left_semi")
+    broken = odd.where("noise = 'hyphenation'").join(groups(frequent).select("key").distinct(), "key", "left_semi")
     return sure.unionByName(misread.select("id", "noise")).unionByName(broken.select("id", "noise")).distinct().withColumnRenamed("id", id)
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of neighbouring words: (kept, left, word, n); kept tells odd words from plain ones."""
-    known: dict[str, str | None] = {}
+    """Counts of neighbouring words: (left, word, n)."""
     for rows in batches:
         plain: Counter[tuple[str, str]] = Counter()
         for text in rows["text"]:
             pieces = [p.lower() for p in _PIECE.findall(text)]
             plain.update(zip(["", *pieces], pieces))
-        out = []
-        for (left, word), n in plain.items():
-            if word not in known:
-                known[word] = suspect(word)
-            if _PURE.fullmatch(left or "a"):
-                out.append((known[word] is not None, left, word.strip("!|\\*#•·<>=+%&§$€{}_¬\xad"), n))
-        if len(known) > 300_000:
-            known.clear()
+        out = [(left, _trimmed(word), n) for (left, word), n in plain.items() if _PURE.fullmatch(left or "a")]
         if out:
-            yield pd.DataFrame(out, columns=["odd", "left", "word", "n"])
+            yield pd.DataFrame(out, columns=["left", "word", "n"])
 
 
-def meanings(chunks: DataFrame, odd: DataFrame, frequent: DataFrame, *, text: str = "text") -> DataFrame:
+def meanings(chunks: DataFrame, found: DataFrame, *, text: str = "text") -> DataFrame:
     """(form, meant): the frequent form that each misread form stands for, the one its left neighbours support
     best, then the most frequent, then the first."""
-    words = odd.where("noise = 'misread' and key is not null and key not like '!%'")
-    found = resolved(words, frequent)
     rows = chunks.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    pairs = rows.mapInPandas(_pairs, "odd boolean, left string, word string, n long").groupBy("left", "word").agg(F.sum("n").alias("n"), F.max("odd").alias("odd"))
+    pairs = rows.mapInPandas(_pairs, "left string, word string, n long").groupBy("left", "word").agg(F.sum("n").alias("n"))
     choices = found.select("form", "meant").distinct()
     several = choices.groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form")
-    seen = pairs.where("odd").join(several, pairs["word"] == several["form"], "left_semi").select(F.col("word").alias("form"), "left")
+    seen = pairs.join(several, pairs["word"] == several["form"], "left_semi").select(F.col("word").alias("form"), "left")
     with_left = seen.join(choices, "form").join(pairs.select("left", F.col("word").alias("meant"), F.col("n").alias("both")), ["left", "meant"])
     support = with_left.groupBy("form", "meant").agg(F.sum(F.log1p("both")).alias("support"))
     best = found.groupBy("form", "meant").agg(F.max("n").alias("n")).join(support, ["form", "meant"], "left")
@@ -348,11 +436,13 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repaired(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", book: str = "book_title", chapter: str = "chapter_title", summary: str = "is_summary") -> DataFrame:
     """(id, paragraphs): every text without the noise, its lines reflowed. Ids must be unique; a null text stays null."""
     ensure_checkpoints(chunks.sparkSession)
-    frequent = lexicon(chunks, text=text).checkpoint()
-    odd = candidates(chunks, id=id, text=text, book=book, chapter=chapter, summary=summary).checkpoint()
+    forms = plain_forms(chunks, text=text)
+    frequent = lexicon(forms)
+    pairs = plain_pairs(forms, frequent).checkpoint()
+    odd = candidates(chunks, pairs, id=id, text=text, book=book, chapter=chapter, summary=summary).checkpoint()
     plain = odd.where("noise = 'misread' and key like '!%'").select("id", "form").distinct()
     glyphs = F.udf(lambda form: skeleton(form), StringType())
-    by_word = meanings(chunks, odd, frequent, text=text)
+    by_word = meanings(chunks, misread_forms(odd, forms, frequent, pairs).checkpoint(), text=text)
     words = odd.where("noise = 'misread' and key is not null").select("id", "form").distinct().join(by_word, "form").unionByName(plain.join(by_word, "form", "left_anti").select("form", "id", glyphs("form").alias("meant")))
     words = words.groupBy("id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("form", "meant")))).alias("words"))
     joins = odd.where("noise = 'hyphenation'").join(groups(frequent).select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("form").alias("joins"))

@@ -327,3 +327,17 @@ def test_page_lines_in_roman_numerals(line, wanted):
 def test_numbered_roman_lines():
     assert scans.split_lines("It rises in the\nxvii\nmorning.\nxii.\nand falls", [], False)[1] == [None, "page_number", None, "page_number", None]
     assert scans.split_lines("is one of\nc.\nThe next", [], False)[1] == [None] * 3
+
+
+def test_plain_words_misread(spark):
+    clean = "Doctors exclude a high fever in muscle and modern wards. " * 100
+    rows = [
+        (1, clean), (2, "They exdude it."), (3, "A high tever came."), (4, "The tever came."), (5, "In modem wards."), (6, "cough and rash of the mus-\ndes"), (7, "in rnuscle"),
+        (8, "A high le-\ntever"), (9, "in musde"), (10, "doctors ex-\ndude it"), (11, "a high fever"),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").selectExpr("*", "string(null) book_title", "string(null) chapter_title", "false is_summary")
+    # a letter for another needs neighbours: tever counts after the word high, on which half of its occurrences rest
+    assert sorted(r.chunk_id for r in scans.noise(chunks).where("noise = 'misread'").collect()) == [2, 3, 4, 5, 7, 9, 10]
+    done = {r.chunk_id: r.paragraphs for r in scans.repaired(chunks).collect()}
+    assert done[2] == "They exclude it." and done[3] == "A high fever came." and done[9] == "in muscle"
+    assert {r.chunk_id for r in scans.noise(chunks.where("chunk_id != 3")).where("noise = 'misread'").collect()} == {2, 5, 7, 9, 10}
