@@ -8,7 +8,8 @@ joined form is frequent. Running heads are lines that agree with the title of th
 page's digits are masked. The repair replaces misread words by the frequent form that its left neighbours
 support best, drops heads and page numbers, joins broken words and reflows lines into paragraphs with windows.
 
-A frequent form has at least FLOOR occurrences and a share of SHARE of all words, so there are at most 1/SHARE.
+A frequent form has at least FLOOR occurrences, in tables of any size; an odd form is no misread or broken one of a
+form that is rarer than itself.
 
 Rules for odd input, covered by tests: null and empty texts have no noise; rows without titles have no running
 heads; the heading path of a summary is no running head; repeated rows each get their result; an empty table
@@ -30,7 +31,7 @@ from pyspark.sql.types import StringType
 
 from lexloom.streaming.ingest import ensure_checkpoints
 
-FLOOR, SHARE = 3, 5e-7
+FLOOR = 3
 MUCH_RARER = 20
 #: bits of a filter of forms: of bounded size, what it lets through is joined exactly
 BITS = 1 << 22
@@ -204,8 +205,7 @@ def plain_forms(chunks: DataFrame, *, text: str = "text") -> DataFrame:
 
 def lexicon(forms: DataFrame) -> DataFrame:
     """(form, n) of the frequent plain words."""
-    least = F.greatest(F.lit(FLOOR), F.ceil(forms.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar() * SHARE))
-    return forms.where(F.col("n") >= least)
+    return forms.where(F.col("n") >= FLOOR)
 
 
 def groups(frequent: DataFrame) -> DataFrame:
@@ -356,9 +356,19 @@ def misread_forms(odd: DataFrame, forms: DataFrame, frequent: DataFrame, pairs:
 
 
 def resolved(forms: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(key, form, meant, n) of the odd forms that have a frequent form, with each one they may stand for."""
+    """(key, form, meant, n) of the odd forms, one row for each record that has them, with each frequent form that
+    they may stand for."""
     meant = groups(frequent).withColumnsRenamed({"form": "meant"})
-    return forms.select("key", "form").distinct().join(meant, "key").where(F.col("meant") != F.col("form")).select("key", "form", "meant", "n")
+    own = forms.groupBy("key", "form").agg(F.count("*").alias("own"))
+    return own.join(meant, "key").where((F.col("meant") != F.col("form")) & (F.col("n") >= F.col("own"))).select("key", "form", "meant", "n")
+
+
+def broken(odd: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows of odd with broken words whose joined form, or one it may stand for, is frequent."""
+    words = odd.where("noise = 'hyphenation'")
+    most = groups(frequent).groupBy("key").agg(F.max("n").alias("n"))
+    whole = words.groupBy("key", "form").agg(F.count("*").alias("own")).join(most, "key").where(F.col("n") >= F.col("own"))
+    return words.join(whole.select("key", "form"), ["key", "form"], "left_semi")
 
 
 def noise(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", **columns: str) -> DataFrame:
@@ -371,8 +381,7 @@ def noise(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", **colu
     sure = odd.where("noise != 'left' and (key is null or key like '!%')").select("id", "noise")
     words = odd.where("noise = 'misread' and key is not null and key not like '!%'")
     misread = words.join(misread_forms(odd, forms, frequent, pairs).select("form").distinct(), "form", "left_semi")
-    broken = odd.where("noise = 'hyphenation'").join(groups(frequent).select("key").distinct(), "key", "left_semi")
-    return sure.unionByName(misread.select("id", "noise")).unionByName(broken.select("id", "noise")).distinct().withColumnRenamed("id", id)
+    return sure.unionByName(misread.select("id", "noise")).unionByName(broken(odd, frequent).select("id", "noise")).distinct().withColumnRenamed("id", id)
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -445,7 +454,7 @@ def repaired(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", boo
     by_word = meanings(chunks, misread_forms(odd, forms, frequent, pairs).checkpoint(), text=text)
     words = odd.where("noise = 'misread' and key is not null").select("id", "form").distinct().join(by_word, "form").unionByName(plain.join(by_word, "form", "left_anti").select("form", "id", glyphs("form").alias("meant")))
     words = words.groupBy("id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("form", "meant")))).alias("words"))
-    joins = odd.where("noise = 'hyphenation'").join(groups(frequent).select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("form").alias("joins"))
+    joins = broken(odd, frequent).groupBy("id").agg(F.collect_set("form").alias("joins"))
     rows = chunks.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.coalesce(summary, F.lit(False)).alias("summary"))
     ready = rows.where("text is not null").join(words, "id", "left").join(joins, "id", "left")
     kind = dict(rows.dtypes)["id"]

@@ -341,3 +341,19 @@ def test_plain_words_misread(spark):
     done = {r.chunk_id: r.paragraphs for r in scans.repaired(chunks).collect()}
     assert done[2] == "They exclude it." and done[3] == "A high fever came." and done[9] == "in muscle"
     assert {r.chunk_id for r in scans.noise(chunks.where("chunk_id != 3")).where("noise = 'misread'").collect()} == {2, 5, 7, 9, 10}
+
+
+def test_frequent_forms_at_any_size(spark):
+    """A word printed rightly five times shows its broken and misread ones in a table of ten million words too."""
+    rows = [(n, "The pemphigus healed.") for n in range(5)] + [(10, "The pem-\nphigus healed."), (11, "The pemph|gus healed."), (12, "the cough " * 5)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").selectExpr("*", "string(null) book_title", "string(null) chapter_title", "false is_summary")
+    many = spark.range(20).selectExpr("id + 100 chunk_id", "repeat('fever and cough ', 200000) text", "string(null) book_title", "string(null) chapter_title", "false is_summary")
+    wanted = [(10, "hyphenation"), (11, "misread")]
+    assert sorted(tuple(r) for r in scans.noise(chunks).collect()) == wanted
+    assert sorted(tuple(r) for r in scans.noise(chunks.unionByName(many)).collect()) == wanted
+
+
+def test_odd_forms_more_frequent_than_others(spark):
+    rows = [(n, "Give SPO2N now.") for n in range(9)] + [(20 + n, "Give spozn now.") for n in range(4)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").selectExpr("*", "string(null) book_title", "string(null) chapter_title", "false is_summary")
+    assert scans.noise(chunks).count() == 0
