@@ -4,7 +4,8 @@ The rules are a finite transducer. Its input symbols are pieces of the text that
 bounded context (words, quotations, brackets, end marks, line breaks with what the next line is); its states say
 what kind of line it is in and how the sentence began; some transitions give a boundary. A block of a long text is
 thus a function from the state before it to the state after it, and the blocks' functions are composed by a
-prefix scan, after which every block knows its first state and its boundaries.
+prefix scan, after which every block knows its first state and its boundaries. Where a block's first piece starts
+is part of the state, as a quotation or bracket may reach over the edge; few places are possible.
 
 Rules for odd input, covered by tests: null, empty and blank texts have no units; a unit has a letter or digit;
 quotations and brackets over SPAN characters, or not closed in their paragraph, don't hold sentences together;
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 600
-#: longer texts are cut into blocks of this many characters, at the next blank line within MARGIN
+#: longer texts are cut into blocks of this many characters, which see MARGIN more on either side
 BLOCK, MARGIN = 1 << 16, 1 << 12
+#: how far before an edge a quotation or bracket that reaches over it starts at most
+REACH = SPAN + 8
 
 # fixed values: abbreviations that don't end a sentence before a capital or a figure
 ABBREVIATIONS = frozenset(
@@ -146,18 +149,32 @@ def _ends(text: str, start: int, end: int) -> bool:
     return True
 
 
+def _over(text: str, m: regex.Match, edge: int) -> int:
+    """Where a piece that reaches an edge ends; a word may go on in the next block with any letter."""
+    a, b = m.span()
+    return next((at for at in range(max(a + 1, edge), b) if not text[at].isspace()), b) if m.lastgroup == "word" else b
+
+
 def symbols(text: str, start: int = 0, end: int | None = None) -> tuple[list[int], list[int]]:
-    """The symbols from start to end, and for each the place where a boundary would be."""
-    end = len(text) if end is None else end
+    """The symbols of the pieces that start from start to end, and for each the place where a boundary would be."""
+    return walked(text, start, len(text) if end is None else end)[:2]
+
+
+def walked(text: str, start: int, end: int) -> tuple[list[int], list[int], int]:
+    """The symbols and places, and where the first piece behind the end starts."""
+    stop = start
     kinds: list[int] = []
     places: list[int] = []
     if start == 0:
         first = len(text) - len(text.lstrip())
         kinds.append(_line_kind(text, first))
         places.append(0)
-    for m in _TOKEN.finditer(text, start, end):
+    for m in _TOKEN.finditer(text, start) if start < end else ():
         kind = m.lastgroup
         a, b = m.span()
+        if a >= end:
+            break
+        stop = b if b < end else _over(text, m, end)
         if kind == "word":
             if m.group().strip():
                 kinds.append(WORD)
@@ -195,7 +212,13 @@ def symbols(text: str, start: int = 0, end: int | None = None) -> tuple[list[int
         elif not m.group().isspace():
             kinds.append(WORD)
             places.append(a)
-    return kinds, places
+    return kinds, places, stop
+
+
+def entries(text: str, edge: int) -> list[int]:
+    """The places where the first piece of a block from the edge on may start."""
+    near = (_TOKEN.match(text, at, edge + 2 * REACH) for at in range(max(0, edge - REACH), edge))
+    return sorted({edge, *(_over(text, m, edge) for m in near if m.end() >= edge)})
 
 
 def function_of(kinds: list[int]) -> np.ndarray:
@@ -244,15 +267,6 @@ def units(text: str) -> list[tuple[int, int]]:
     return spans(text, boundaries(*symbols(text), START))
 
 
-_GAP = regex.compile(r"\n[^\S\n]*\n\s*")
-
-
-def _edge(text: str, at: int) -> int:
-    """Where a block that should end at ``at`` ends: after the next blank line, if one is near."""
-    gap = _GAP.search(text, at, min(len(text), at + MARGIN))
-    return gap.end() if gap and gap.end() < len(text) else min(at, len(text))
-
-
 def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, sent_start, sent_end) of every unit of every text, in code points."""
     kind = dict(docs.dtypes)[id]
@@ -268,25 +282,38 @@ def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block:
             yield pd.DataFrame({"id": pd.Series(ids, dtype=rows["id"].dtype), "sent_start": [a for a, _ in at], "sent_end": [b for _, b in at]})
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a block sees MARGIN characters on either side; what it owns runs from edge to edge
+        # a block sees MARGIN characters on either side; it owns the pieces that start in it
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
                 lead = min(MARGIN, r.part * block)
-                first = 0 if r.part == 0 else _edge(r.seen, lead)
-                last = len(r.seen) if r.last else _edge(r.seen, lead + block)
-                kinds, places = symbols(r.seen, first, last)
-                out.append((r.row, r.id, r.part, r.seen[lead : lead + block], kinds, [p - lead + r.part * block for p in places], function_of(kinds)))
-            yield pd.DataFrame(out, columns=["row", "id", "part", "text", "kinds", "places", "after"])
+                last = len(r.seen) if r.last else lead + block
+                off = r.part * block - lead
+                starts = [0] if r.part == 0 else entries(r.seen, lead)
+                ways = [walked(r.seen, at, last) for at in starts]
+                out.append((r.row, r.id, r.part, r.seen[lead : lead + block], [at + off for at in starts], [k for k, _, _ in ways], [[p + off for p in ps] for _, ps, _ in ways], [at + off for _, _, at in ways], [function_of(k).tolist() for k, _, _ in ways]))
+            yield pd.DataFrame(out, columns=["row", "id", "part", "text", "starts", "kinds", "places", "ends", "after"])
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
-        after = scan(np.stack(rows["after"].to_numpy()).astype(np.int64))
-        cuts, state = [], START
-        for n, (kinds, places) in enumerate(zip(rows["kinds"], rows["places"])):
-            cuts.extend(boundaries(kinds, places, state))
-            state = int(after[n, START])
-        own = spans("".join(rows["text"]), cuts)
+        starts = [{int(at): n for n, at in enumerate(own)} for own in rows["starts"]]
+        whole = "".join(rows["text"])
+        if any(int(at) not in there for ends, there in zip(rows["ends"], starts[1:]) for at in ends):  # blanks without end at an edge
+            own = units(whole)
+        else:
+            # the state of a block is the way in, then the state of the line; of ways that aren't there nothing is used
+            after = np.zeros((len(rows), max(map(len, starts)) * STATES), dtype=np.int64)
+            for n, (ends, functions) in enumerate(zip(rows["ends"], rows["after"])):
+                for way, (at, states) in enumerate(zip(ends, functions)):
+                    then = starts[n + 1][int(at)] if n + 1 < len(starts) else 0
+                    after[n, way * STATES : (way + 1) * STATES] = np.asarray(states) + then * STATES
+            after = scan(after)
+            cuts, state = [], START
+            for n, (kinds, places) in enumerate(zip(rows["kinds"], rows["places"])):
+                way, line = divmod(state, STATES)
+                cuts.extend(boundaries(kinds[way], places[way], line))
+                state = int(after[n, START])
+            own = spans(whole, cuts)
         return pd.DataFrame({"id": rows["id"].iloc[0], "sent_start": [a for a, _ in own], "sent_end": [b for _, b in own]})
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -296,5 +323,5 @@ def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block:
         "row", "id", "part", (F.col("part") == F.col("blocks") - 1).alias("last"),
         F.substring("text", F.greatest(F.lit(1), F.col("part") * block - MARGIN + 1), F.least(F.lit(MARGIN), F.col("part") * block) + block + MARGIN).alias("seen"),
     )
-    blocks = cut.repartition("row", "part").mapInPandas(parts, f"row long, id {kind}, part int, text string, kinds array<int>, places array<int>, after array<int>")
+    blocks = cut.repartition("row", "part").mapInPandas(parts, f"row long, id {kind}, part int, text string, starts array<int>, kinds array<array<int>>, places array<array<int>>, ends array<int>, after array<array<int>>")
     return short.unionByName(blocks.groupBy("row").applyInPandas(joined, schema)).withColumnRenamed("id", id)

@@ -357,3 +357,13 @@ def test_odd_forms_more_frequent_than_others(spark):
     rows = [(n, "Give SPO2N now.") for n in range(9)] + [(20 + n, "Give spozn now.") for n in range(4)]
     chunks = spark.createDataFrame(rows, "chunk_id long, text string").selectExpr("*", "string(null) book_title", "string(null) chapter_title", "false is_summary")
     assert scans.noise(chunks).count() == 0
+
+
+def test_blocks_of_one_long_paragraph(spark):
+    rng = random.Random(4)
+    said = ['"It came. Then it went," he wrote.', '"Is it worse? It is."', "(See Fig. 5. It grew.)", "„Усилва ли се? Да.“", "The level fell to 6.7 mg.", "「夜に強い。はい。」と尋ねた。", "「先に。\n\n後で。」", "อาการอื่น ๆ ของโรคคือคัน  ขนาดยา", "line\nends", "word " * 40, "It has 5 \" of. Space", "# Head\n", "* item. One\n", "... ", "\u0964 है \u0964"]
+    texts = [" ".join(rng.choices(said, k=60)) for _ in range(6)] + ['"' + "one. Two " * 60 + '" and. ' + "Then \"a. B\" c. " * 90, "a " * 3000, "One." + " " * 3000 + "Two."]
+    wanted = {(i, a, b) for i, t in enumerate(texts) for a, b in sentences.units(t)}
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for block in (300, 2000):
+        assert {tuple(r) for r in sentences.sentences(frame, block=block).collect()} == wanted
