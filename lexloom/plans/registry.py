@@ -193,15 +193,17 @@ def retry_pool(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def retrieval_loop(s: SparkSession, d: str) -> DataFrame:
-    """Titles and first lines of documents asked over all documents, with open gates so that further passes run."""
+    """Texts of documents asked over all documents, with open gates so that all passes run; the last one asks for the longest term."""
     ingest.ensure_checkpoints(s)
     docs = table(s, d, "documents").select("doc_id", "text", "lang")
-    asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), F.get(F.split("text", "\n"), F.lit(0)).alias("text"), F.col("lang").alias("q_lang"))
+    asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "text", F.col("lang").alias("q_lang"))
 
     def search(some: DataFrame, how: rag.Pass) -> DataFrame:
+        if how.longest_term:
+            some = some.withColumn("text", text.longest(text.latin_terms(F.col("text"))))
         return _doc_search(s, d, how.k, None if how.any_language else F.col("q_lang") == F.col("lang"), asked=some)
 
-    return rag.retrieve(asked, docs, search, gates=rag.Gates(confident=4.0, answer=0.0, retry=-4.0, passes=2))
+    return rag.retrieve(asked, docs, search, gates=rag.Gates(confident=5.5, answer=0.0, retry=-4.0, passes=rag.MOST_PASSES))
 
 
 @query(f"""with {_IDF}, u as (select chunk_id, unnest({_TERMS.format('text')}) term from body), e as (select chunk_id, term, idf * count(*) * 2.5 / (count(*) + 1.5) w from u join idf using (term) group by chunk_id, term, idf),

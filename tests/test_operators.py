@@ -347,3 +347,20 @@ def test_filters(spark):
     rows = spark.createDataFrame([("a", "c", "s", i, i, "en" if i % 2 else "bg", i == 3) for i in range(6)], "book_id string, chapter_title string, section_title string, chunk_index int, chunk_id int, language string, is_summary boolean")
     assert [r.chunk_id for r in fusion.section_chunks(rows, "a", "c", "s", 4).collect()] == [0, 1, 2, 4]
     assert rows.where(fusion.matching("en", ["a"])).count() == 3 and rows.where(fusion.matching("both")).count() == 6 and rows.where(fusion.matching(None, ["x"])).count() == 0
+
+
+def test_loop_asks_whole_texts_in_all_passes(spark, monkeypatch):
+    from lexloom.plans import registry
+
+    calls, search, folder = [], registry._doc_search, "/root/testdata/sf0.001"
+
+    def seen(s, d, k, where=None, asked=None):
+        calls.append((k, where is None, {r.qid: r.text for r in asked.collect()}))
+        return search(s, d, k, where, asked)
+
+    monkeypatch.setattr(registry, "_doc_search", seen)
+    assert registry.retrieval_loop(spark, folder).count() > 0
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert [c[:2] for c in calls] == [(5, False), (10, False), (10, True), (15, False), (15, True), (20, True)]
+    assert all(t == docs[q] for c in calls[:-1] for q, t in c[2].items())
+    assert calls[-1][2] and all(t is None or t.isalpha() and t in docs[q].lower() for q, t in calls[-1][2].items())
