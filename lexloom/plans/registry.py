@@ -476,10 +476,10 @@ def last_and_any(s: SparkSession, d: str) -> DataFrame:
 
 @query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) events, round(sum(value), 2) value from events group by all")
 def stream_daily_counts(s: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of files, counted by day and kind with late ones allowed, run until it has caught up."""
+    """The events as a stream of files, counted by day and kind however late they are, run until it has caught up."""
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     events = ingest.events_of(s, f"{d}/events.parquet").withColumn("ts", F.timestamp_micros(micros))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("w.start") / 86400).cast("int")).cast("string")
-    counts = ingest.windowed_counts(events).select(day.alias("day"), "event_type", "events", "value")
+    counts = ingest.windowed_counts(events, late=None).select(day.alias("day"), "event_type", "events", "value")
     done = ingest.drained(counts, ingest.shared_folder(s), ["day", "event_type"])
     return done.withColumn("value", F.round("value", 2))

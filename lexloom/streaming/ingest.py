@@ -30,8 +30,10 @@ def events_of(spark: SparkSession, path: str, *, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(pattern)
 
 
-def windowed_counts(events: DataFrame, *, time: str = "ts", late: str = "1 hour", window: str = "1 day", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+def windowed_counts(events: DataFrame, *, time: str = "ts", late: str | None = "1 hour", window: str = "1 day", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """Counts by window and keys; events later than ``late`` may be dropped, none if that is None."""
+    kept = events if late is None else events.withWatermark(time, late)
+    return kept.groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("events"), F.sum("value").alias("value"))
 
 
 def drained(result: DataFrame, folder: str, keys: list[str]) -> DataFrame:

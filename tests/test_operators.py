@@ -364,3 +364,12 @@ def test_loop_asks_whole_texts_in_all_passes(spark, monkeypatch):
     assert [c[:2] for c in calls] == [(5, False), (10, False), (10, True), (15, False), (15, True), (20, True)]
     assert all(t == docs[q] for c in calls[:-1] for q, t in c[2].items())
     assert calls[-1][2] and all(t is None or t.isalpha() and t in docs[q].lower() for q, t in calls[-1][2].items())
+
+
+def test_stream_of_unordered_files(spark, tmp_path):
+    from lexloom.plans import registry
+
+    for day in (20, 1, 10, 1):
+        spark.sql(f"select timestamp_ntz'2024-01-{day:02} 05:00:00' ts, 'a' event_type, 1.0D value from range(3)").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = {(r.day, r.events, r.value) for r in registry.stream_daily_counts(spark, str(tmp_path)).collect()}
+    assert got == {("2024-01-20", 3, 3.0), ("2024-01-01", 6, 6.0), ("2024-01-10", 3, 3.0)}
