@@ -2,11 +2,16 @@
 
 The rules are a finite transducer. Its input symbols are pieces of the text that a regular expression finds with
 bounded context (words, quotations, brackets, end marks, line breaks with what the next line is); its states say
-what kind of line it is in and how the sentence began; some transitions give a boundary. A block of a long text is
-thus a function from the state before it to the state after it, and the blocks' functions are composed by a
-prefix scan, after which every block knows its first state and its boundaries. Where a block's first piece starts
+what kind of line it is in and how the sentence began; some transitions give a boundary. Every text is cut into
+blocks. A block is a function from the state before it to the state after it, and the blocks' functions are composed
+by a prefix scan, after which every block knows its first state and its boundaries. A block begins between two
+letters or between a blank and a letter, where only words, quotations and brackets go on; where its first piece starts
 is part of the state, as a quotation or bracket may reach over the edge; few places are possible.
 
+A text of up to PART characters is scanned in one task, all texts of a batch at once. The parts of a longer one are
+functions made of their blocks' functions; of each only the function travels to where they are composed, and the way
+in travels back. Units that reach over parts are put together from their two ends.
+
 Rules for odd input, covered by tests: null, empty and blank texts have no units; a unit has a letter or digit;
 quotations and brackets over SPAN characters, or not closed in their paragraph, don't hold sentences together;
 repeated rows each get their units; an empty table gives an empty result.
@@ -23,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 600
-#: longer texts are cut into blocks of this many characters, which see MARGIN more on either side
-BLOCK, MARGIN = 1 << 16, 1 << 12
-#: how far before an edge a quotation or bracket that reaches over it starts at most
-REACH = SPAN + 8
+#: texts are cut into blocks of about this many characters; a task takes at most PART of a text
+BLOCK, PART = 512, 1 << 18
+#: how far a quotation or bracket reaches over an edge at most
+REACH = SPAN + 4
 
 # fixed values: abbreviations that don't end a sentence before a capital or a figure
 ABBREVIATIONS = frozenset(
@@ -93,6 +98,10 @@ _AFTER = regex.compile(rf"(\s*)([„“«\"'‘「『(（\[¿¡—–-]*\s?)(\S?
 _ORDINAL = regex.compile(r"(?:^|[\s(])(?:am|der|die|das|dem|den|des|vom|zum|zur|im|beim|bis|ab|seit|jeder|jeden|ein|einem|einer)\s+\d+$", regex.IGNORECASE)
 _LETTER = regex.compile(r"\s\p{L}\.")
 _CASELESS = regex.compile(r"[\p{Lo}\p{Nd}]")
+#: where a block may begin: nothing but words, quotations and brackets goes on there
+_CLEAN = regex.compile(r"(?<=\p{L}|[^\S\n])(?=\p{L})")
+_OPENING = regex.compile(r"[„“«「『\"(（]")
+_RUN = regex.compile(r"[\s„“«\"'‘「『(（\[¿¡—–-]*")
 
 
 def _line_kind(text: str, at: int) -> int:
@@ -149,19 +158,13 @@ def _ends(text: str, start: int, end: int) -> bool:
     return True
 
 
-def _over(text: str, m: regex.Match, edge: int) -> int:
-    """Where a piece that reaches an edge ends; a word may go on in the next block with any letter."""
-    a, b = m.span()
-    return next((at for at in range(max(a + 1, edge), b) if not text[at].isspace()), b) if m.lastgroup == "word" else b
-
-
-def symbols(text: str, start: int = 0, end: int | None = None) -> tuple[list[int], list[int]]:
-    """The symbols of the pieces that start from start to end, and for each the place where a boundary would be."""
-    return walked(text, start, len(text) if end is None else end)[:2]
+def symbols(text: str) -> tuple[list[int], list[int]]:
+    """The symbols of the pieces of a whole text, and for each the place where a boundary would be."""
+    return walked(text, 0, len(text))[:2]
 
 
 def walked(text: str, start: int, end: int) -> tuple[list[int], list[int], int]:
-    """The symbols and places, and where the first piece behind the end starts."""
+    """The symbols and places of the pieces that start from start to end, and where the first piece behind starts."""
     stop = start
     kinds: list[int] = []
     places: list[int] = []
@@ -174,7 +177,7 @@ def walked(text: str, start: int, end: int) -> tuple[list[int], list[int], int]:
         a, b = m.span()
         if a >= end:
             break
-        stop = b if b < end else _over(text, m, end)
+        stop = end if kind == "word" and b > end else b
         if kind == "word":
             if m.group().strip():
                 kinds.append(WORD)
@@ -215,17 +218,42 @@ def walked(text: str, start: int, end: int) -> tuple[list[int], list[int], int]:
     return kinds, places, stop
 
 
+def edges(text: str, start: int, end: int, size: int) -> list[int]:
+    """The inner edges of blocks of size characters or a few more."""
+    out = []
+    while m := _CLEAN.search(text, start + size, end):
+        start = m.start()
+        out.append(start)
+    return out
+
+
 def entries(text: str, edge: int) -> list[int]:
     """The places where the first piece of a block from the edge on may start."""
-    near = (_TOKEN.match(text, at, edge + 2 * REACH) for at in range(max(0, edge - REACH), edge))
-    return sorted({edge, *(_over(text, m, edge) for m in near if m.end() >= edge)})
+    if edge == 0:
+        return [0]
+    found = {edge}
+    for m in _OPENING.finditer(text, max(0, edge - REACH), edge):
+        piece = _TOKEN.match(text, m.start())
+        if piece.lastgroup in ("quote", "bracket") and piece.end() > edge:
+            found.add(piece.end())
+    return sorted(found)
 
 
-def function_of(kinds: list[int]) -> np.ndarray:
+#: a block: where its first piece may start, and the symbols, places and end of each way
+Block = tuple[list[int], list[tuple[list[int], list[int], int]]]
+
+
+def blocks_of(text: str, start: int, end: int, size: int) -> list[Block]:
+    at = [start, *edges(text, start, end, size), end]
+    ways = [entries(text, a) for a in at[:-1]]
+    return [(own, [walked(text, way, b) for way in own]) for own, b in zip(ways, at[1:])]
+
+
+def function_of(kinds: list[int]) -> bytes:
     """The state after the symbols for each state before them."""
-    state = np.arange(STATES, dtype=np.int8)
+    state = _EVERY
     for k in kinds:
-        state = _NEXT[k][state]
+        state = state.translate(_STEP[k])
     return state
 
 
@@ -239,6 +267,18 @@ def boundaries(kinds: list[int], places: list[int], state: int) -> list[int]:
 
 
 _NEXT_LIST, _EMIT_LIST = _NEXT.tolist(), _EMIT.tolist()
+_EVERY = bytes(range(STATES))
+_STEP = [bytes(row) + bytes(256 - STATES) for row in _NEXT_LIST]
+
+
+def functions(blocks: list[Block], nexts: list[dict[int, int]]) -> np.ndarray:
+    """One row a block. What it maps is the way in and the state in one number, way * STATES + state; nexts says which
+    way of the next block starts at a place."""
+    out = np.zeros((len(blocks), max(len(own) for own, _ in blocks) * STATES), dtype=np.int32)
+    for row, (_, ways), then in zip(out, blocks, nexts):
+        for n, (kinds, _, stop) in enumerate(ways):
+            row[n * STATES : (n + 1) * STATES] = np.frombuffer(function_of(kinds), dtype=np.uint8) + then[stop] * STATES
+    return out
 
 
 def scan(functions: np.ndarray) -> np.ndarray:
@@ -250,6 +290,52 @@ def scan(functions: np.ndarray) -> np.ndarray:
     return functions
 
 
+class _Any(dict):
+    """The end of a text: every way ends in the first of the next text."""
+
+    def __missing__(self, _: int) -> int:
+        return 0
+
+
+def _nexts(blocks: list[Block]) -> list[dict[int, int]]:
+    return [{at: n for n, at in enumerate(own)} for own, _ in blocks[1:]]
+
+
+#: texts are scanned together up to this many numbers
+TOGETHER = 1 << 20
+
+
+def cuts_of(texts: list[str], block: int) -> Iterator[list[int]]:
+    """The boundaries of each text, by a prefix scan over the blocks of many texts."""
+    at = 0
+    while at < len(texts):
+        blocks: list[Block] = []
+        nexts: list[dict[int, int]] = []
+        lengths: list[int] = []
+        widest = 1
+        while at < len(texts) and len(blocks) * widest * STATES < TOGETHER:
+            own = blocks_of(texts[at], 0, len(texts[at]), block)
+            blocks += own
+            nexts += [*_nexts(own), _Any()]
+            lengths.append(len(own))
+            widest = max(widest, *(len(ways) for ways, _ in own))
+            at += 1
+        own = functions(blocks, nexts)
+        firsts = np.cumsum([0, *lengths[:-1]])
+        own[firsts] = own[firsts, START][:, None]  # a text starts in one state, whatever the text before left
+        before = np.concatenate([[START], scan(own)[:-1, START]])
+        before[firsts] = START
+        states = before.tolist()
+        n = 0
+        for length in lengths:
+            cuts: list[int] = []
+            for _, ways in blocks[n : n + length]:
+                way, state = divmod(states[n], STATES)
+                cuts += boundaries(*ways[way][:2], state)
+                n += 1
+            yield cuts
+
+
 def spans(text: str, cuts: list[int]) -> list[tuple[int, int]]:
     """The pieces between the cuts, without white space around them; only those with a letter or digit."""
     out, at = [], 0
@@ -264,64 +350,99 @@ def spans(text: str, cuts: list[int]) -> list[tuple[int, int]]:
 
 
 def units(text: str) -> list[tuple[int, int]]:
+    """The units by one pass from the start to the end, for tests."""
     return spans(text, boundaries(*symbols(text), START))
 
 
-def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, sent_start, sent_end) of every unit of every text, in code points."""
-    kind = dict(docs.dtypes)[id]
-    schema = f"id {kind}, sent_start int, sent_end int"
-
+def _whole(kind: str, block: int):
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             ids, at = [], []
-            for i, t in zip(rows["id"], rows["text"]):
-                own = units(t)
+            for i, t, cuts in zip(rows["id"], rows["text"], cuts_of(rows["text"].tolist(), block)):
+                own = spans(t, cuts)
                 ids.extend([i] * len(own))
                 at.extend(own)
             yield pd.DataFrame({"id": pd.Series(ids, dtype=rows["id"].dtype), "sent_start": [a for a, _ in at], "sent_end": [b for _, b in at]})
 
+    return whole
+
+
+def _parts(part: int):
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a block sees MARGIN characters on either side; it owns the pieces that start in it
+        """(row, id, part, begin, lead, end, seen) of the parts, with what the rules may see on either side."""
         for rows in batches:
+            for row, id_, text in rows.itertuples(index=False, name=None):
+                at = [0, *edges(text, 0, len(text), part), len(text)]
+                for n, (a, b) in enumerate(zip(at, at[1:])):
+                    lead = min(a, 2 * REACH)
+                    seen = text[a - lead : _RUN.match(text, min(len(text), b + 2 * REACH)).end() + REACH]
+                    yield pd.DataFrame({"row": [row], "id": [id_], "part": [n], "begin": [a - lead], "lead": [lead], "end": [b - a + lead], "seen": [seen]})
+
+    return parts
+
+
+def _part_functions(block: int):
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(row, part, starts, ends, states, cuts): the places where a part's first piece may start; and for each of
+        them and each state where its last one ends, in which state, and whether there is a boundary."""
+        for rows in batches:
+            for row, part, begin, lead, end, seen in rows[["row", "part", "begin", "lead", "end", "seen"]].itertuples(index=False, name=None):
+                blocks = blocks_of(seen, lead, end, block)
+                stops = sorted({stop for _, _, stop in blocks[-1][1]})
+                own = functions(blocks, [*_nexts(blocks), {stop: n for n, stop in enumerate(stops)}])
+                all_ = scan(own)
+                before = np.vstack([np.arange(own.shape[1]), all_[:-1]])
+                cutting = np.zeros(own.shape, dtype=bool)
+                for n, (_, ways) in enumerate(blocks):
+                    for w, (kinds, places, _) in enumerate(ways):
+                        cutting[n, w * STATES : (w + 1) * STATES] = [bool(boundaries(kinds, places, s)) for s in range(STATES)]
+                there = len(blocks[0][0]) * STATES
+                after = all_[-1][:there]
+                cuts = np.take_along_axis(cutting, before, axis=1).any(axis=0)[:there]
+                yield pd.DataFrame({"row": [row], "part": [part], "starts": [[s + begin for s in blocks[0][0]]], "ends": [[stops[i] + begin for i in (after // STATES).tolist()]], "states": [(after % STATES).tolist()], "cuts": [cuts.tolist()]})
+
+    return made
+
+
+def _ways_in(rows: pd.DataFrame) -> pd.DataFrame:
+    """(row, part, start, state, piece): where and in which state each part of a text starts, and the number of parts
+    with a boundary before it. A text has at most 8,192 parts of PART characters, as a string has at most 2 GB."""
+    rows = rows.sort_values("part", ignore_index=True)
+    starts = [{int(at): n for n, at in enumerate(own)} for own in rows["starts"]]
+    own = np.zeros((len(rows), max(map(len, rows["states"]))), dtype=np.int32)
+    for n, (ends, states) in enumerate(zip(rows["ends"], rows["states"])):
+        own[n, : len(ends)] = np.asarray(states) + (STATES * np.array([starts[n + 1][int(at)] for at in ends]) if n + 1 < len(rows) else 0)
+    before = [START, *scan(own)[:-1, START].tolist()]
+    cuts = [bool(c[b]) for c, b in zip(rows["cuts"], before)]
+    return pd.DataFrame({"row": rows["row"], "part": rows["part"], "start": [own[b // STATES] for own, b in zip(rows["starts"], before)], "state": [b % STATES for b in before], "piece": np.cumsum([0, *cuts[:-1]])})
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(row, id, piece, n, start, end, worded) of the pieces between the boundaries of a part: the first and the last
+    one (n = 0) may go on in other parts, and meet there under one number."""
+    for rows in batches:
+        for row, id_, begin, end, seen, start, state, piece in rows[["row", "id", "begin", "end", "seen", "start", "state", "piece"]].itertuples(index=False, name=None):
+            kinds, places, stop = walked(seen, start - begin, end)
+            at = [start - begin, *boundaries(kinds, places, state), stop]
             out = []
-            for r in rows.itertuples(index=False):
-                lead = min(MARGIN, r.part * block)
-                last = len(r.seen) if r.last else lead + block
-                off = r.part * block - lead
-                starts = [0] if r.part == 0 else entries(r.seen, lead)
-                ways = [walked(r.seen, at, last) for at in starts]
-                out.append((r.row, r.id, r.part, r.seen[lead : lead + block], [at + off for at in starts], [k for k, _, _ in ways], [[p + off for p in ps] for _, ps, _ in ways], [at + off for _, _, at in ways], [function_of(k).tolist() for k, _, _ in ways]))
-            yield pd.DataFrame(out, columns=["row", "id", "part", "text", "starts", "kinds", "places", "ends", "after"])
-
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        starts = [{int(at): n for n, at in enumerate(own)} for own in rows["starts"]]
-        whole = "".join(rows["text"])
-        if any(int(at) not in there for ends, there in zip(rows["ends"], starts[1:]) for at in ends):  # blanks without end at an edge
-            own = units(whole)
-        else:
-            # the state of a block is the way in, then the state of the line; of ways that aren't there nothing is used
-            after = np.zeros((len(rows), max(map(len, starts)) * STATES), dtype=np.int64)
-            for n, (ends, functions) in enumerate(zip(rows["ends"], rows["after"])):
-                for way, (at, states) in enumerate(zip(ends, functions)):
-                    then = starts[n + 1][int(at)] if n + 1 < len(starts) else 0
-                    after[n, way * STATES : (way + 1) * STATES] = np.asarray(states) + then * STATES
-            after = scan(after)
-            cuts, state = [], START
-            for n, (kinds, places) in enumerate(zip(rows["kinds"], rows["places"])):
-                way, line = divmod(state, STATES)
-                cuts.extend(boundaries(kinds[way], places[way], line))
-                state = int(after[n, START])
-            own = spans(whole, cuts)
-        return pd.DataFrame({"id": rows["id"].iloc[0], "sent_start": [a for a, _ in own], "sent_end": [b for _, b in own]})
+            for n, (a, b) in enumerate(zip(at, at[1:])):
+                text = seen[a:b]
+                if text.strip():
+                    key = (piece, 0) if n == 0 else (piece + 1, 0) if n == len(at) - 2 else (piece, n)
+                    out.append((row, id_, *key, begin + b - len(text.lstrip()), begin + a + len(text.rstrip()), any(map(str.isalnum, text))))
+            if out:
+                yield pd.DataFrame(out, columns=["row", "id", "piece", "n", "start", "end", "worded"])
 
+
+def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block: int = BLOCK, part: int = PART) -> DataFrame:
+    """(id, sent_start, sent_end) of every unit of every text, in code points."""
+    kind = dict(docs.dtypes)[id]
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    short = rows.where(F.length("text") <= block).mapInPandas(whole, schema)
-    long = rows.where(F.length("text") > block).withColumn("row", F.monotonically_increasing_id()).withColumn("blocks", F.ceil(F.length("text") / F.lit(block)).cast("int"))
-    cut = long.select("row", "id", "text", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).select(
-        "row", "id", "part", (F.col("part") == F.col("blocks") - 1).alias("last"),
-        F.substring("text", F.greatest(F.lit(1), F.col("part") * block - MARGIN + 1), F.least(F.lit(MARGIN), F.col("part") * block) + block + MARGIN).alias("seen"),
-    )
-    blocks = cut.repartition("row", "part").mapInPandas(parts, f"row long, id {kind}, part int, text string, starts array<int>, kinds array<array<int>>, places array<array<int>>, ends array<int>, after array<array<int>>")
-    return short.unionByName(blocks.groupBy("row").applyInPandas(joined, schema)).withColumnRenamed("id", id)
+    short = rows.where(F.length("text") <= part).mapInPandas(_whole(kind, block), f"id {kind}, sent_start int, sent_end int")
+    long = rows.where(F.length("text") > part).select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    parts = long.mapInPandas(_parts(part), f"row long, id {kind}, part int, begin int, lead int, end int, seen string").repartition("row", "part")
+    made = parts.mapInPandas(_part_functions(block), "row long, part int, starts array<int>, ends array<int>, states array<int>, cuts array<boolean>")
+    ways = made.groupBy("row").applyInPandas(_ways_in, "row long, part int, start int, state int, piece int")
+    pieces = parts.join(ways, ["row", "part"]).mapInPandas(_pieces, f"row long, id {kind}, piece int, n int, start int, end int, worded boolean")
+    joined = pieces.groupBy("row", "piece", "n").agg(F.any_value("id").alias("id"), F.min("start").alias("sent_start"), F.max("end").alias("sent_end"), F.bool_or("worded").alias("worded"))
+    return short.unionByName(joined.where("worded").select("id", "sent_start", "sent_end")).withColumnRenamed("id", id)

@@ -289,7 +289,7 @@ def test_blocks_of_long_texts(spark):
     frame = spark.createDataFrame([*enumerate(texts), (70, None), (71, "")], "doc_id long, text string").withColumn("part", F.lit(1))
     wanted = {(i, a, b) for i, t in enumerate(texts) for a, b in sentences.units(t)}
     assert {tuple(r) for r in sentences.sentences(frame).collect()} == wanted
-    assert {tuple(r) for r in sentences.sentences(frame, block=1500).collect()} == wanted
+    assert {tuple(r) for r in sentences.sentences(frame, block=300, part=1500).collect()} == wanted
 
 
 # 2: scans
@@ -359,11 +359,26 @@ def test_odd_forms_more_frequent_than_others(spark):
     assert scans.noise(chunks).count() == 0
 
 
+SAID = ['"It came. Then it went," he wrote.', '"Is it worse? It is."', "(See Fig. 5. It grew.)", "„Усилва ли се? Да.“", "The level fell to 6.7 mg.", "「夜に強い。はい。」と尋ねた。", "「先に。\n\n後で。」", "อาการอื่น ๆ ของโรคคือคัน  ขนาดยา", "line\nends", "word " * 40, "It has 5 \" of. Space", "# Head\n", "* item. One\n", "... ", "\u0964 है \u0964"]
+
+
+@pytest.mark.parametrize("block", [1, 3, 50, 300, 1500, 65536])
+def test_blocks_by_brute_force(block):
+    """Any texts, with blank lines or without, give in blocks of any size what one pass gives."""
+    rng = random.Random(block)
+    signs = [*SAID, "(", '"', "“", "\n\n", "  \n ", "[3] Dr. X", "e.g. ", "12345 67. ", "—", "。", "\u0301"]
+    texts = ["".join(rng.choice(signs) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    assert [sentences.spans(t, c) for t, c in zip(texts, sentences.cuts_of(texts, block))] == [sentences.units(t) for t in texts]
+
+
 def test_blocks_of_one_long_paragraph(spark):
     rng = random.Random(4)
-    said = ['"It came. Then it went," he wrote.', '"Is it worse? It is."', "(See Fig. 5. It grew.)", "„Усилва ли се? Да.“", "The level fell to 6.7 mg.", "「夜に強い。はい。」と尋ねた。", "「先に。\n\n後で。」", "อาการอื่น ๆ ของโรคคือคัน  ขนาดยา", "line\nends", "word " * 40, "It has 5 \" of. Space", "# Head\n", "* item. One\n", "... ", "\u0964 है \u0964"]
-    texts = [" ".join(rng.choices(said, k=60)) for _ in range(6)] + ['"' + "one. Two " * 60 + '" and. ' + "Then \"a. B\" c. " * 90, "a " * 3000, "One." + " " * 3000 + "Two."]
+    texts = [" ".join(rng.choices(SAID, k=60)) for _ in range(6)] + ['"' + "one. Two " * 60 + '" and. ' + "Then \"a. B\" c. " * 90, "a " * 3000, "One." + " " * 3000 + "Two.", "7 " * 3000, "One." + "\n" * 3000 + "Two"]
     wanted = {(i, a, b) for i, t in enumerate(texts) for a, b in sentences.units(t)}
     frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    for block in (300, 2000):
-        assert {tuple(r) for r in sentences.sentences(frame, block=block).collect()} == wanted
+    for block, part in ((50, 300), (300, 2000), (512, 1 << 18)):
+        assert {tuple(r) for r in sentences.sentences(frame, block=block, part=part).collect()} == wanted
+    twice = sentences.sentences(frame.unionByName(frame), part=300).collect()
+    assert len(twice) == 2 * len(wanted) and {tuple(r) for r in twice} == wanted
+
+
