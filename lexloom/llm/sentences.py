@@ -443,6 +443,6 @@ def sentences(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block:
     parts = long.mapInPandas(_parts(part), f"row long, id {kind}, part int, begin int, lead int, end int, seen string").repartition("row", "part")
     made = parts.mapInPandas(_part_functions(block), "row long, part int, starts array<int>, ends array<int>, states array<int>, cuts array<boolean>")
     ways = made.groupBy("row").applyInPandas(_ways_in, "row long, part int, start int, state int, piece int")
-    pieces = parts.join(ways, ["row", "part"]).mapInPandas(_pieces, f"row long, id {kind}, piece int, n int, start int, end int, worded boolean")
+    pieces = parts.join(ways, ["row", "part"], "left").mapInPandas(_pieces, f"row long, id {kind}, piece int, n int, start int, end int, worded boolean")
     joined = pieces.groupBy("row", "piece", "n").agg(F.any_value("id").alias("id"), F.min("start").alias("sent_start"), F.max("end").alias("sent_end"), F.bool_or("worded").alias("worded"))
     return short.unionByName(joined.where("worded").select("id", "sent_start", "sent_end")).withColumnRenamed("id", id)
