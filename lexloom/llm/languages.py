@@ -1,9 +1,9 @@
 """Problem 5: the language of each text and of each segment of a mixed one.
 
-Every letter has a random vector of signs. A trigram's vector binds three of them, the first ones rotated; a
-language's prototype bundles the trigram vectors of its sample texts, and so would a sentence's vector. A
-sentence is compared with the prototypes by cosine. As bundling is a sum, the product of a sentence with a
-prototype is the sum of its trigrams' products, which are worked out once for every trigram of the sample.
+Every letter has a random vector of signs. A trigram's vector binds three of them, the first ones rotated; a word's
+vector bundles its trigrams with a blank at either end, a sentence's vector the words, and a language's prototype the
+trigrams of its sample texts. A sentence is compared with the prototypes by the cosine of its vector; the vectors of
+words seen last are kept.
 
 The prototypes come from a bounded sample (``sample`` rows, about, picked by the hash of their ids), read twice:
 rows whose text contradicts their label in the first round don't train the second. Everything else covers all
@@ -19,13 +19,16 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMENSION = 4096
+DIMENSION = 2048
+#: vectors of this many words are kept, those of so many are added up at once
+KEPT, TOGETHER = 10_000, 150
 LANGUAGES = ("bg", "en", "ru", "de", "fr")
 
 # fixed values: other names of the languages
@@ -47,6 +50,8 @@ for _n in range(0x80, 0x10000):
     if _CODE[_n] == 0 and chr(_n).isalpha():
         _CODE[_n] = OTHER
 _LETTERS = np.random.default_rng(7).choice(np.array([-1, 1], dtype=np.int8), (K, DIMENSION))
+_FIRST, _MIDDLE = np.roll(_LETTERS, 2, axis=1), np.roll(_LETTERS, 1, axis=1)
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def label_of(language: Column) -> Column:
@@ -58,70 +63,104 @@ def label_of(language: Column) -> Column:
     return out
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Codes of the letter trigrams; what isn't a letter is one blank."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def trigrams(words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the words' letter trigrams, with a blank at either end of a word, and where each word's start."""
+    points = np.frombuffer(f" {' '.join(words_)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = _CODE[np.minimum(points, 0xFFFF)]
-    codes = np.concatenate([[0], codes, [0]])
-    codes = codes[(codes != 0) | (np.concatenate([[1], codes[:-1]]) != 0)]
-    grams = (codes[:-2] * K + codes[1:-1]) * K + codes[2:]
-    return grams[codes[1:-1] != 0]
+    codes[(codes == 0) & (points != 32)] = OTHER
+    letters = np.flatnonzero(points != 32)
+    starts = np.cumsum([0, *map(len, words_[:-1])])
+    return (codes[letters - 1] * K + codes[letters]) * K + codes[letters + 1], starts
 
 
 def vectors(grams: np.ndarray) -> np.ndarray:
     """The bound vectors of trigrams."""
-    a, b, c = grams // (K * K), grams // K % K, grams % K
-    return np.roll(_LETTERS, 2, axis=1)[a] * np.roll(_LETTERS, 1, axis=1)[b] * _LETTERS[c]
+    return _FIRST[grams // (K * K)] * _MIDDLE[grams // K % K] * _LETTERS[grams % K]
 
 
 class Profiles:
-    """Products of each trigram of the sample with each prototype of unit length."""
+    """The prototypes of the languages, of length one, and the vectors of the words seen last."""
 
     def __init__(self, rows: pd.DataFrame):
         table = rows.pivot_table(index="gram", columns="language", values="n", aggfunc="sum", fill_value=0).reindex(columns=list(LANGUAGES), fill_value=0)
-        self.grams = table.index.to_numpy(dtype=np.int64)
+        grams = table.index.to_numpy(dtype=np.int64)
         counts = table.to_numpy(dtype=np.float32)
         counts = np.sqrt(counts / np.maximum(counts.sum(axis=0), 1))
         bundle = np.zeros((len(LANGUAGES), DIMENSION), dtype=np.float32)
-        for i in range(0, len(self.grams), 2000):
-            bundle += counts[i : i + 2000].T @ vectors(self.grams[i : i + 2000]).astype(np.float32)
+        for i in range(0, len(grams), 2000):
+            bundle += counts[i : i + 2000].T @ vectors(grams[i : i + 2000]).astype(np.float32)
         # what all the languages share tells nothing
         bundle -= bundle[bundle.any(axis=1)].mean(axis=0) if bundle.any() else 0
-        bundle /= np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
-        self.products = np.zeros((len(self.grams) + 1, len(LANGUAGES)), dtype=np.float32)
-        for i in range(0, len(self.grams), 2000):
-            self.products[i : i + 2000][: len(self.grams) - i] = (vectors(self.grams[i : i + 2000]).astype(np.float32) @ bundle.T) / math.sqrt(DIMENSION)
-
-    def place(self, grams: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.grams, grams)
-        at[at >= len(self.grams)] = 0
-        return np.where(self.grams[at] == grams, at, len(self.grams)) if len(self.grams) else np.zeros(len(grams), dtype=np.int64)
+        self.__setstate__(bundle / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9))
+
+    def __getstate__(self):
+        return self.prototypes
+
+    def __setstate__(self, prototypes: np.ndarray):
+        self.prototypes, self.known, self.kept = prototypes, {}, np.zeros((0, DIMENSION), dtype=np.float32)
+
+    def learn(self, new: list[str]) -> None:
+        """Keeps the vectors of new words."""
+        if len(self.known) + len(new) > KEPT:
+            self.known.clear()
+        need = len(self.known) + len(new)
+        if need > len(self.kept):
+            self.kept = np.concatenate([self.kept, np.zeros((max(need, 2 * len(self.kept)) - len(self.kept), DIMENSION), dtype=np.float32)])
+        for i in range(0, len(new), 200):
+            part = new[i : i + 200]
+            grams, starts = trigrams(part)
+            at = len(self.known)
+            self.kept[at : at + len(part)] = np.add.reduceat(vectors(grams), starts, axis=0, dtype=np.float32)
+            self.known.update(zip(part, range(at, at + len(part))))
+
+    def places(self, words_: list[str]) -> list[int]:
+        new = [*{w: None for w in words_ if w not in self.known}]
+        if len(self.known) + len(new) > KEPT:
+            self.known.clear()
+            new = [*dict.fromkeys(words_)]
+        if new:
+            self.learn(new)
+        return [*map(self.known.__getitem__, words_)]
+
+    def bundles(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sums of the words' vectors: numbers of texts, and a row for each. A text without letters has none."""
+        spoken = [words(t) for t in texts]
+        owner, every = np.repeat(np.arange(len(texts)), [*map(len, spoken)]), [*chain.from_iterable(spoken)]
+        last, rest = -1, None
+        for i in range(0, len(every), TOGETHER):
+            own = owner[i : i + TOGETHER]
+            new = np.ones(len(own), dtype=bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            starts, row = np.flatnonzero(new), np.cumsum(new) - 1
+            at, of = np.unique(self.places(every[i : i + TOGETHER]), return_inverse=True)
+            times = np.bincount(row * len(at) + of, minlength=len(starts) * len(at)).reshape(len(starts), len(at))
+            sums = times.astype(np.float32) @ self.kept[at]
+            if own[0] == last:
+                sums[0] += rest
+            elif rest is not None:
+                yield np.array([last]), rest[None]
+            last, rest = int(own[-1]), sums[-1]
+            yield own[starts[:-1]], sums[:-1]
+        if rest is not None:
+            yield np.array([last]), rest[None]
 
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """The cosine of each text with each prototype. Trigram vectors are all but orthogonal, so a text's
-        length is the root of its squared counts; a trigram that the sample lacks adds nothing to the product."""
+        """The cosine of each text with each prototype; 0 where there are no letters."""
         out = np.zeros((len(texts), len(LANGUAGES)), dtype=np.float32)
-        for i in range(0, len(texts), 4000):
-            part = texts[i : i + 4000]
-            points = np.frombuffer("\n".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            owner = np.repeat(np.arange(len(part)), [len(t) + 1 for t in part])[: len(points)]
-            codes = _CODE[np.minimum(points, 0xFFFF)]
-            codes, owner = np.concatenate([[0], codes, [0]]), np.concatenate([owner[:1], owner, owner[-1:]])
-            keep = (codes != 0) | (np.concatenate([[1], codes[:-1]]) != 0)
-            codes, owner = codes[keep], owner[keep]
-            middle = codes[1:-1] != 0
-            grams, owner = ((codes[:-2] * K + codes[1:-1]) * K + codes[2:])[middle], owner[1:-1][middle]
-            n = np.bincount(owner, minlength=len(part))
-            at = self.place(grams)
-            sums = np.stack([np.bincount(owner, self.products[at, j], len(part)) for j in range(len(LANGUAGES))], axis=1)
-            out[i : i + len(part)] = sums / np.sqrt(np.maximum(n, 1))[:, None]
+        for at, sums in self.bundles(texts):
+            length = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+            out[at] = (sums @ self.prototypes.T) / np.maximum(length, 1e-9)[:, None]
         return out
 
 
 def _sample_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for language, own in rows.groupby("language"):
-            grams, n = np.unique(np.concatenate([trigrams(t) for t in own["text"]]), return_counts=True)
+            grams, n = np.unique(trigrams([w for t in own["text"] for w in words(t)])[0], return_counts=True)
             yield pd.DataFrame({"language": language, "gram": grams, "n": n.astype(float)})
 
 
@@ -216,7 +255,7 @@ def _spoken(found: pd.DataFrame, n: int) -> list[list[str]]:
     return out
 
 
-def segments(chunks: DataFrame, profiles: Profiles, *, id: str = "chunk_id", text: str = "text", least: float = 0.1, margin: float = 0.05) -> DataFrame:
+def segments(chunks: DataFrame, profiles: Profiles, *, id: str = "chunk_id", text: str = "text", least: float = 0.1, margin: float = 0.07) -> DataFrame:
     """(id, seg_start, seg_end, language, confidence) of every text: neighbouring units of one language in one row.
 
     A unit that isn't sure goes with the one before it, the first ones with the next; a text without a sure unit is
@@ -241,7 +280,7 @@ def segments(chunks: DataFrame, profiles: Profiles, *, id: str = "chunk_id", tex
     return rows.mapInPandas(cut, f"id {kind}, seg_start int, seg_end int, language string, confidence double").withColumnRenamed("id", id)
 
 
-def mislabelled(chunks: DataFrame, profiles: Profiles, *, id: str = "chunk_id", text: str = "text", language: str = "language", least: float = 0.1, margin: float = 0.05) -> DataFrame:
+def mislabelled(chunks: DataFrame, profiles: Profiles, *, id: str = "chunk_id", text: str = "text", language: str = "language", least: float = 0.1, margin: float = 0.07) -> DataFrame:
     """(id, language): the languages of each text that has no right label or more than one language."""
     kind = dict(chunks.dtypes)[id]
 

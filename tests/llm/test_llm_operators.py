@@ -110,21 +110,21 @@ def test_labels(spark):
     assert {r.l: r.x for r in rows} == given
 
 
-def test_binding_and_linearity():
-    """The cosine from the trigrams' products is that of the bundled vectors, but for the text's length."""
+def test_binding_and_cosine():
+    """The cosine is that of the bundled trigram vectors with the prototypes, for repeated words too."""
     import pandas as pd
 
     texts = {"en": "the risk of fever doubles in patients with asthma", "de": "die Ursache für Fieber liegt meist in der Leber", "bg": "рискът от треска е двоен при болните"}
-    rows = [pd.DataFrame({"language": l, "gram": np.unique(languages.trigrams(t), return_counts=True)[0], "n": np.unique(languages.trigrams(t), return_counts=True)[1]}) for l, t in texts.items()]
-    p = languages.Profiles(pd.concat(rows))
-    for language, text in texts.items():
-        assert languages.LANGUAGES[p.cosines([text])[0].argmax()] == language
-        grams = languages.trigrams(text)
-        bundle = languages.vectors(grams).astype(float).sum(axis=0)
-        exact = np.sqrt(len(grams) * languages.DIMENSION)
-        assert abs(np.linalg.norm(bundle) / exact - 1) < 0.5
-    batch = p.cosines([*texts.values(), ""])
-    assert np.allclose(batch[:3], [p.cosines([t])[0] for t in texts.values()]) and not batch[3].any()
+    counted = {l: np.unique(languages.trigrams(languages.words(t))[0], return_counts=True) for l, t in texts.items()}
+    p = languages.Profiles(pd.concat([pd.DataFrame({"language": l, "gram": g, "n": n}) for l, (g, n) in counted.items()]))
+    asked = [*texts.values(), "the " * 300, "a" * 500, "the, of: " * 200 + texts["de"], "", "12 %", "x"]
+    got = p.cosines(asked)
+    for text, cosines in zip(asked, got):
+        bundle = languages.vectors(languages.trigrams(languages.words(text))[0]).astype(float).sum(axis=0) if languages.words(text) else np.zeros(languages.DIMENSION)
+        exact = p.prototypes @ bundle / max(np.linalg.norm(bundle), 1e-9)
+        assert np.allclose(cosines, exact, atol=1e-5) and (np.abs(cosines) <= 1 + 1e-6).all()
+    assert [languages.LANGUAGES[c.argmax()] for c in got[:3]] == [*texts]
+    assert np.allclose(got, np.concatenate([p.cosines([t]) for t in asked]), atol=1e-6)
 
 
 def test_found_languages(spark):
@@ -140,7 +140,7 @@ def test_found_languages(spark):
     assert got == [(2, "en"), (3, "de"), (3, "en"), (5, "ru"), (9, "bg"), (9, "ru")]
     cut = [tuple(r)[1:4] for r in languages.segments(given.where("chunk_id = 3"), profiles).collect()]
     assert [c[2] for c in cut] == ["de", "en"] and cut[0][0] == 0 and cut[1][1] == len(rows[2][1].rstrip())
-    assert isinstance(profiles.products, np.ndarray) and pd.notna(profiles.products).all()
+    assert pd.notna(profiles.prototypes).all()
 
 
 # 6: tokens
