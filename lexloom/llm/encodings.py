@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -158,39 +159,39 @@ def bigrams(words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pairs.astype(np.int64), blank[:-1]
 
 
+def _telling_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, n) of the words that tell something."""
+    for rows in batches:
+        seen = Counter(w for text in rows["text"] for w in words(text) if telling(w))
+        if seen:
+            yield pd.DataFrame({"word": [*seen], "n": [*seen.values()]})
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(class, bucket, n) of a part of the sample: each word clean and garbled by every chain."""
-    seen: dict[str, int] = {}
+    """(class, bucket, n, word) of distinct words with their counts: the bigrams of each one clean and garbled by every
+    chain, weighed by the root of its count; and the plain words with their counts."""
     for rows in batches:
-        for text in rows["text"]:
-            for w in words(text):
-                if telling(w):
-                    seen[w] = seen.get(w, 0) + 1
-    forms = [*seen]
-    native = [bool(_NATIVE.search(w)) for w in forms]
-    weight = np.sqrt(np.fromiter(seen.values(), dtype=float, count=len(seen)))
-    for name in CLASSES if forms else ():
-        chain, _, kind = name.partition("/")
-        made, at = [], []
-        for i, w in enumerate(forms):
-            if kind == "caps":
-                w = w.upper()
-            elif native[i] != (kind == "native"):
-                continue
-            g = w if chain == "clean" else garble(w, chain)
-            if g is not None and (g != w or chain == "clean") and not _SPACE.search(g):
-                made.append(g)
-                at.append(i)
-        if made:
-            pairs, starts = bigrams(made)
-            n = np.bincount(pairs, np.repeat(weight[at], np.diff([*starts, len(pairs)])), BUCKETS)
-            there = np.flatnonzero(n)
-            yield pd.DataFrame({"class": name, "bucket": there, "n": n[there], "word": None})
-    of: dict[str, int] = {}
-    for w, n in seen.items():
-        of[plain(w)] = of.get(plain(w), 0) + n
-    if of:
-        yield pd.DataFrame({"class": "word", "bucket": 0, "n": np.fromiter(of.values(), dtype=float, count=len(of)), "word": [*of]})
+        forms = rows["word"].tolist()
+        native = [bool(_NATIVE.search(w)) for w in forms]
+        weight = np.sqrt(rows["n"].to_numpy(float))
+        for name in CLASSES:
+            chain, _, kind = name.partition("/")
+            made, at = [], []
+            for i, w in enumerate(forms):
+                if kind == "caps":
+                    w = w.upper()
+                elif native[i] != (kind == "native"):
+                    continue
+                g = w if chain == "clean" else garble(w, chain)
+                if g is not None and (g != w or chain == "clean") and not _SPACE.search(g):
+                    made.append(g)
+                    at.append(i)
+            if made:
+                pairs, starts = bigrams(made)
+                n = np.bincount(pairs, np.repeat(weight[at], np.diff([*starts, len(pairs)])), BUCKETS)
+                there = np.flatnonzero(n)
+                yield pd.DataFrame({"class": name, "bucket": there, "n": n[there], "word": None})
+        yield pd.DataFrame({"class": "word", "bucket": 0, "n": rows["n"].astype(float), "word": [*map(plain, forms)]})
 
 
 def _astray(counts: dict[str, float]) -> set[str]:
@@ -229,7 +230,7 @@ class Model:
 
     def __setstate__(self, state):
         self.logs, self.words = state
-        self.known, self.scores = {}, np.zeros((1024, len(CLASSES) - CLEAN), dtype=np.float32)
+        self.known, self.best, self.scores = {}, [], np.zeros((1024, len(CLASSES) - CLEAN), dtype=np.float32)
 
     def clean(self, words_: list[str]) -> float:
         """How likely the words are clean text: each by its share in the sample or by its bigrams."""
@@ -242,8 +243,6 @@ class Model:
 
     def learn(self, new: list[str]) -> None:
         """Adds the scores of new words."""
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
         need = len(self.known) + len(new)
         while need > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
@@ -253,9 +252,36 @@ class Model:
             sums = np.add.reduceat(self.logs[pairs], starts, axis=0)
             at = len(self.known)
             clean = np.maximum(sums[:, :CLEAN].max(axis=1), [self.words.get(plain(w), -math.inf) for w in part])
-            self.scores[at : at + len(part)] = sums[:, CLEAN:] - clean[:, None]
+            new_scores = sums[:, CLEAN:] - clean[:, None]
+            self.scores[at : at + len(part)] = new_scores
+            self.best += np.maximum(new_scores.max(axis=1), 0).tolist()
             self.known.update(zip(part, range(at, at + len(part))))
 
+    def places(self, words_: list[str]) -> list[int]:
+        """Where the scores of the words are. KEPT words are kept, or as many as are asked for at once."""
+        at = [*map(self.known.get, words_)]
+        if None in at:
+            new = [*dict.fromkeys(w for w, n in zip(words_, at) if n is None)]
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+                self.best.clear()
+                new = [*dict.fromkeys(words_)]
+            self.learn(new)
+            at = [*map(self.known.get, words_)]
+        return at
+
+    def best_of(self, words_: list[str]) -> float:
+        """The sum of the words' best scores, as far as they are positive."""
+        best = self.best
+        return sum([best[n] for n in self.places(words_)])
+
+    def scores_of(self, words_: list[str]) -> np.ndarray:
+        return self.scores[self.places(words_)]
+
+
+#: telling words that are looked at together
+WINDOW = 2000
+
 
 def _stretch(scores: np.ndarray) -> tuple[float, int, int, int]:
     """The highest sum over a stretch of words and a class: (sum, first, last, class)."""
@@ -284,35 +310,53 @@ def _undo(pieces: list[str], chain: str) -> list[str] | None:
     return None if any(p is None for p in out) else out
 
 
+def _windows(model: Model, pieces: list[str], at: list[int], least: float) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The telling words in windows, with their scores. A window ends behind a word that costs every chain ``least``
+    or more: a stretch over it would be two that both count without it."""
+    own: list[int] = []
+    scores: list[np.ndarray] = []
+    for i in range(0, len(at), WINDOW):
+        part = at[i : i + WINDOW]
+        new = model.scores_of([pieces[n] for n in part])
+        plain_ = np.flatnonzero(new.max(axis=1) <= -least)
+        if len(plain_) and i + WINDOW < len(at):
+            cut = int(plain_[-1]) + 1
+            yield own + part[:cut], np.concatenate([*scores, new[:cut]])
+            own, scores = part[cut:], [new[cut:]]
+        else:
+            own, scores = own + part, [*scores, new]
+    if own:
+        yield own, np.concatenate(scores)
+
+
 def _inspect(model: Model, text: str, least: float) -> tuple[list[str], str, bool] | None:
     """(chains, repaired text, wholly restored) of an affected text, else None."""
     cut = re.split(r"([ \t\r\n]+)", text)
     pieces = cut[::2]
-    at = [i for i, w in enumerate(pieces) if telling(w)]
-    scores = model.scores[[model.known[pieces[i]] for i in at]].copy()
     chains, whole = [], True
-    for _ in range(4 * len(CLASSES)):
-        gain, first, last, kind = _stretch(scores)
-        if gain < least:
-            break
-        chain = CLASSES[kind + CLEAN].partition("/")[0]
-        span = range(first, last + 1)
-        old = [pieces[at[i]] for i in span]
-        if chain in LOSSY:
-            if not _LOST[chain].search(" ".join(old)):
-                scores[first : last + 1, kind] = -least
-                continue
-            whole = False
-        else:
-            new = _undo(old, chain)
-            strict = chain.startswith("utf-8")  # between encodings of single bytes everything decodes
-            if new is None or model.clean(new) < model.clean(old) + MARGIN or not (strict or _familiar(model, new)):
-                scores[first : last + 1, kind] = -least  # this chain doesn't hold here
-                continue
-            for i, w in zip(span, new):
-                pieces[at[i]] = w
-        scores[first : last + 1] = -least
-        chains.append(chain)
+    for at, scores in _windows(model, pieces, [i for i, w in enumerate(pieces) if telling(w)], least):
+        while True:  # every round leaves fewer positive scores
+            gain, first, last, kind = _stretch(scores)
+            if gain < least:
+                break
+            chain = CLASSES[kind + CLEAN].partition("/")[0]
+            span = range(first, last + 1)
+            old = [pieces[at[i]] for i in span]
+            if chain in LOSSY:
+                if not _LOST[chain].search(" ".join(old)):
+                    scores[first : last + 1, kind] = -least
+                    continue
+                whole = False
+            else:
+                new = _undo(old, chain)
+                strict = chain.startswith("utf-8")  # between encodings of single bytes everything decodes
+                if new is None or model.clean(new) < model.clean(old) + MARGIN or not (strict or _familiar(model, new)):
+                    scores[first : last + 1, kind] = -least  # this chain doesn't hold here
+                    continue
+                for i, w in zip(span, new):
+                    pieces[at[i]] = w
+            scores[first : last + 1] = -least
+            chains.append(chain)
     if not chains:
         return None
     cut[::2] = pieces
@@ -322,19 +366,13 @@ def _inspect(model: Model, text: str, least: float) -> tuple[list[str], str, boo
 def _scan(model: Model, least: float):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts = rows["text"].tolist()
-            per = [[w for w in words(t) if telling(w)] if t and (not t.isascii() or "??" in t) else () for t in texts]
-            new = [*{w: 0 for ws in per for w in ws if w not in model.known}]
-            if len(model.known) + len(new) > KEPT:
-                model.known.clear()
-                new = [*{w: 0 for ws in per for w in ws}]
-            if new:
-                model.learn(new)
-            best = np.maximum(model.scores[: len(model.known)].max(axis=1), 0).tolist() if model.known else []
-            known, out = model.known, []
-            for id_, text, ws in zip(rows["id"], texts, per):
+            out = []
+            for id_, text in zip(rows["id"], rows["text"]):
+                if not text or text.isascii() and "??" not in text:
+                    continue
+                told = [w for w in words(text) if telling(w)]
                 # the positive parts bound every stretch from above
-                if ws and sum([best[known[w]] for w in ws]) >= least:
+                if sum(model.best_of(told[i : i + WINDOW]) for i in range(0, len(told), WINDOW)) >= least:
                     found = _inspect(model, text, least)
                     if found:
                         out.append((id_, ",".join(found[0]), found[1], found[2]))
@@ -345,7 +383,9 @@ def _scan(model: Model, least: float):
 
 
 def _train(rows: DataFrame) -> Model:
-    return Model(rows.mapInPandas(_count, "class string, bucket long, n double, word string").groupBy("class", "bucket", "word").agg(F.sum("n").alias("n")).toPandas())
+    """Counts of words first, then weights, so that the model doesn't depend on how the rows lie."""
+    counted = rows.mapInPandas(_telling_words, "word string, n long").repartition(8, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    return Model(counted.mapInPandas(_count, "class string, bucket long, n double, word string").groupBy("class", "bucket", "word").agg(F.sum("n").alias("n")).toPandas())
 
 
 def train(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", sample: int = 4000, least: float = LEAST) -> Model:
