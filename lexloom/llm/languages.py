@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 DIMENSION = 2048
 #: vectors of this many words are kept, those of so many are added up at once
-KEPT, TOGETHER = 10_000, 150
+KEPT, TOGETHER = 10_000, 1000
 LANGUAGES = ("bg", "en", "ru", "de", "fr")
 
 # fixed values: other names of the languages
@@ -105,48 +105,58 @@ class Profiles:
 
     def learn(self, new: list[str]) -> None:
         """Keeps the vectors of new words."""
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
         need = len(self.known) + len(new)
         if need > len(self.kept):
             self.kept = np.concatenate([self.kept, np.zeros((max(need, 2 * len(self.kept)) - len(self.kept), DIMENSION), dtype=np.float32)])
-        for i in range(0, len(new), 200):
-            part = new[i : i + 200]
+        for i in range(0, len(new), 100):
+            part = new[i : i + 100]
             grams, starts = trigrams(part)
-            at = len(self.known)
-            self.kept[at : at + len(part)] = np.add.reduceat(vectors(grams), starts, axis=0, dtype=np.float32)
+            at, own = len(self.known), vectors(grams).astype(np.float32)
+            for row, a, b in zip(self.kept[at : at + len(part)], starts, [*starts[1:], len(grams)]):
+                np.add.reduce(own[a:b], axis=0, out=row)
             self.known.update(zip(part, range(at, at + len(part))))
 
     def places(self, words_: list[str]) -> list[int]:
-        new = [*{w: None for w in words_ if w not in self.known}]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = [*dict.fromkeys(words_)]
-        if new:
+        at = [*map(self.known.get, words_)]
+        if None in at:
+            new = [*dict.fromkeys(w for w, n in zip(words_, at) if n is None)]
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+                new = [*dict.fromkeys(words_)]
             self.learn(new)
-        return [*map(self.known.__getitem__, words_)]
+            at = [*map(self.known.get, words_)]
+        return at
 
-    def bundles(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def bundles(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """The sums of the words' vectors: numbers of texts, and a row for each. A text without letters has none."""
         spoken = [words(t) for t in texts]
-        owner, every = np.repeat(np.arange(len(texts)), [*map(len, spoken)]), [*chain.from_iterable(spoken)]
-        last, rest = -1, None
-        for i in range(0, len(every), TOGETHER):
-            own = owner[i : i + TOGETHER]
-            new = np.ones(len(own), dtype=bool)
-            np.not_equal(own[1:], own[:-1], out=new[1:])
-            starts, row = np.flatnonzero(new), np.cumsum(new) - 1
-            at, of = np.unique(self.places(every[i : i + TOGETHER]), return_inverse=True)
-            times = np.bincount(row * len(at) + of, minlength=len(starts) * len(at)).reshape(len(starts), len(at))
-            sums = times.astype(np.float32) @ self.kept[at]
-            if own[0] == last:
-                sums[0] += rest
-            elif rest is not None:
-                yield np.array([last]), rest[None]
-            last, rest = int(own[-1]), sums[-1]
-            yield own[starts[:-1]], sums[:-1]
-        if rest is not None:
-            yield np.array([last]), rest[None]
+        some: list[int] = []
+        size = 0
+        for n, own in enumerate(spoken):
+            if len(own) > TOGETHER:
+                sums = np.zeros((1, DIMENSION), dtype=np.float32)
+                for i in range(0, len(own), TOGETHER):
+                    sums += self.kept_of(own[i : i + TOGETHER]).sum(axis=0)
+                yield [n], sums
+            elif own:
+                if size + len(own) > TOGETHER:
+                    yield some, self.summed([spoken[i] for i in some])
+                    some, size = [], 0
+                some.append(n)
+                size += len(own)
+        if some:
+            yield some, self.summed([spoken[i] for i in some])
+
+    def kept_of(self, words_: list[str]) -> np.ndarray:
+        at = self.places(words_)
+        return self.kept[at]
+
+    def summed(self, spoken: list[list[str]]) -> np.ndarray:
+        at, out, a = self.places([*chain.from_iterable(spoken)]), np.empty((len(spoken), DIMENSION), dtype=np.float32), 0
+        for row, own in zip(out, spoken):
+            np.add.reduce(self.kept.take(at[a : a + len(own)], axis=0), axis=0, out=row)
+            a += len(own)
+        return out
 
     def cosines(self, texts: list[str]) -> np.ndarray:
         """The cosine of each text with each prototype; 0 where there are no letters."""
