@@ -1,19 +1,21 @@
 """Problem 2: noise in text from scanned pages, and its repair.
 
 Words are grouped by the skeleton that confusable glyphs share; a form that looks misread, or is much rarer than
-another of its group, is one, if the group has a frequent form. Where plain letters differ by more than two that look
-like one, the frequent form must also be much more frequent after the same left neighbours. What a hyphenation mark
-leaves of a word is no form. A word broken at a line's end counts if its
-joined form is frequent. Running heads are lines that agree with the title of their book or chapter after the
-page's digits are masked. The repair replaces misread words by the frequent form that its left neighbours
-support best, drops heads and page numbers, joins broken words and reflows lines into paragraphs with windows.
+another of its group, is one, if the group has a frequent form. Of several frequent forms that one is chosen which stands
+most often behind the odd form's left neighbours. Where plain letters differ by more than two that look like one, the
+frequent form must also be much more frequent after the same left neighbours. What a hyphenation mark leaves of a word
+is no form. A word broken at a line's end counts if its joined form is frequent. Running heads are lines that fall into
+one group with a title of their book or chapter, whole or cut short at a word, once numbers are masked, the page at
+either end is left out and confusable glyphs are the same. The repair replaces misread words, drops heads and page
+numbers, joins broken words and reflows lines into paragraphs with windows.
 
 A frequent form has at least FLOOR occurrences, in tables of any size; an odd form is no misread or broken one of a
 form that is rarer than itself.
 
 Rules for odd input, covered by tests: null and empty texts have no noise; rows without titles have no running
-heads; the heading path of a summary is no running head; repeated rows each get their result; an empty table
-gives an empty result.
+heads; the heading path of a summary is no running head; repeated rows, and rows without an id, each get their
+result; words of under three letters are never misread and of under four never broken; a title cut short has two words
+and 30 % of its letters or more; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,14 +55,10 @@ _PIECE = re.compile(r"""[^\s/\-‐‑–—’'()\[\]«»„“”",.;:?…]+"""
 _PAIRED = re.compile("rn|cl|vv|li|m|d|w|h")
 _GLYPHS = re.compile(r"[0-9^~°¬|!\\¦_}{]")
 _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th|e|er|re|me|ème|го|ти|ви|ри|ия|ый|ой|та|на)?")
-_STRONG = re.compile(r"[а-яёaeopcxykmthbçãőñõ]*")
 _MIXED = re.compile(r"[aeopcxykmthbçãőñõ]")
 _MARK = re.compile(rf"[{HYPHENS}](?=\s)")
-_BEFORE = re.compile(rf"[^\s/|{HYPHENS}]+\Z")
+_STOPS = frozenset("/|" + HYPHENS)
 _BEHIND = re.compile(rf"\s+([^\W\d][^\s/|{HYPHENS}]*)")
-#: letters that start alike
-_FIRST = dict(zip("аеорсхукмтнвзбi1|!0369456", "aeopcxykmthb36lllo369456"))
-
 # well-formed Roman numerals in one case; units and words that look like one are none
 _NUMERAL = "m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 ROMAN = rf"(?!(?:mm|cm|dl|mi|di|mix|dix)\b)(?=[ivxlcdm])(?-i:{_NUMERAL}|{_NUMERAL.upper()})(?![^\W_])"
@@ -73,6 +72,7 @@ PAGE = re.compile(
 )
 _NUMBERED = re.compile(rf"[ \t]*(?:\d{{1,4}}|(?=[a-z]{{2}}){ROMAN})\.[ \t\r]*")
 _ENDED = re.compile(r"[.!?…:;”“»|)\]]\s*$")
+_NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 _LEAD, _TRAIL = re.compile(r"^\d{1,4}[\s|·—–-]+"), re.compile(r"[\s|·—–-]+\d{1,4}$")
 
 
@@ -108,26 +108,16 @@ def _pair_skeletons(forms: pd.Series) -> pd.Series:
 
 
 def suspect(piece: str) -> str | None:
-    """The key under which a misread word that isn't of plain letters would be found: of any frequent form (s:),
-    or none needed (!); None if nothing about the word is odd."""
-    form = piece.strip("!|\\*#•·<>=+%&§$€{}_¬\xad").lower()
+    """The key of the group of a misread word that isn't of plain letters; None if nothing about the word is odd."""
+    form = _trimmed(piece)
     if len(form) < 3 or _ORDINAL.fullmatch(form) or _PURE.fullmatch(form):
         return None
     letters = sum(c.isalpha() for c in form)
     if letters < 2 or letters * 2 < len(form):
         return None
     native = len(_CYRILLIC.findall(form))
-    if native:
-        if not (_MIXED.search(form) or _GLYPHS.search(form) or "rvi" in form or "iii" in form):
-            return None
-        if native >= 3 and _STRONG.fullmatch(form):
-            return "!" + form
-        return "s:" + skeleton(form)
-    return "s:" + skeleton(form) if _GLYPHS.search(form) else None
-
-
-def _title(text: str | None) -> str:
-    return " ".join(text.lower().split()) if text else ""
+    odd = _MIXED.search(form) or _GLYPHS.search(form) or "rvi" in form or "iii" in form if native else _GLYPHS.search(form)
+    return "s:" + skeleton(form) if odd else None
 
 
 def _unspaced(line: str) -> str:
@@ -138,52 +128,62 @@ def _unspaced(line: str) -> str:
     return line
 
 
-def is_head(line: str, titles: list[str]) -> bool:
-    """Whether the line is a title, whole or cut short at a word, with or without the page."""
+def head_key(line: str) -> str:
+    """What lines of one head share: numbers are masked, case and confusable glyphs are the same."""
+    return skeleton(_NUMBER.sub("0", " ".join(line.lower().rstrip("… ").split())))
+
+
+def head_keys(line: str) -> set[str]:
+    """The keys of a line with and without the page at either end."""
     line = line.strip()
-    first = _LEAD.sub("", line)
-    whole, first = _unspaced(line), _unspaced(first)
-    for bare in {whole, first, _TRAIL.sub("", whole), _TRAIL.sub("", first)}:
-        bare = " ".join(bare.lower().rstrip("… ").split())
-        if len(bare) < 8 or " " not in bare:
-            continue
-        for title in titles:
-            if bare == title:
-                return True
-            if len(bare) >= 0.3 * len(title):
-                own, other = skeleton(bare), skeleton(title)
-                if own == other or other.startswith(own) and other[len(own)] in " ,.":
-                    return True
-    return False
+    ways = {_unspaced(line), _unspaced(_LEAD.sub("", line))}
+    return {head_key(w) for w in ways | {_TRAIL.sub("", w) for w in ways}}
 
 
-def _alike(head: str, title: str) -> bool:
-    return sum(a == b for a, b in zip(head[:6], title)) > 2 or skeleton(head[:6])[:5] == skeleton(title[:6])[:5]
+@lru_cache(maxsize=20_000)
+def title_keys(*titles: str | None) -> frozenset[str]:
+    """The keys of titles, whole and cut short at a word."""
+    out = set()
+    for title in titles:
+        key = head_key(title or "")
+        if sum(c.isalpha() for c in key) > 2:
+            cuts = [n for n, c in enumerate(key) if c in " ,." and n >= max(8, 0.3 * len(key)) and " " in key[:n]]
+            out.update([key, *(key[:n] for n in cuts)])
+    return frozenset(out)
 
 
-def split_lines(text: str, titles: list[str], summary: bool) -> tuple[list[str], list[str | None]]:
-    """The lines and what each one is: running_head, page_number or None."""
+def split_lines(text: str, titles: frozenset[str], summary: bool) -> tuple[list[str], list[str | None]]:
+    """The lines and what each one is: running_head, page_number or None. titles: the keys of its titles."""
     lines = text.split("\n")
     kinds: list[str | None] = [None] * len(lines)
-    starts = {_FIRST.get(t[0], t[0]) for t in titles}
+    starts = {k[:1] for k in titles}
     for n, line in enumerate(lines):
         bare = line.strip()
-        if not bare or len(bare) > 400:
+        if not bare:
             continue
-        if len(bare) < 32 and PAGE.fullmatch(bare):
+        if PAGE.fullmatch(bare):
             kinds[n] = "page_number"
-        elif len(bare) < 8 and _NUMBERED.fullmatch(bare):
+        elif _NUMBERED.fullmatch(bare):
             before, after = lines[n - 1].strip() if n else "", lines[n + 1].strip() if n + 1 < len(lines) else ""
             if not before or _ENDED.search(before) or after[:1].islower():
                 kinds[n] = "page_number"
-        elif starts and not (n == 0 and summary) and len(bare) < 260 and bare[0] not in "|*" and " > " not in bare:
-            head = _LEAD.sub("", bare).lower() if bare[0].isdigit() else bare.lower()
-            first = head[:1]
-            if _FIRST.get(first, first) in starts and (head[1:2] == " " or any(_alike(head, t) for t in titles)) and is_head(bare, titles):
+        elif starts and not (n == 0 and summary) and bare[0] not in "|*" and " > " not in bare:
+            if not starts.isdisjoint(_begins(bare)) and not titles.isdisjoint(head_keys(bare)):
                 kinds[n] = "running_head"
     return lines, kinds
 
 
+def _begins(line: str) -> set[str]:
+    """What the keys of a line may begin with: a quick look before they are made."""
+    out: set[str] = set()
+    for some in (line[:3].lower(), _LEAD.sub("", line)[:3].lower()):
+        out.update(k[:1] for k in (some.translate(LATIN_GLYPHS), some.translate(CYRILLIC_GLYPHS), skeleton(some)))
+        out.update(meant for seen, meant in CYRILLIC_PAIRS.items() if some.startswith(seen))
+        if some[:1].isdigit():
+            out.update(("o", "о"))
+    return out
+
+
 def _count_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[str] = Counter()
     for rows in batches:
@@ -241,34 +241,39 @@ def _has(bits: bytes, form: str) -> bool:
 def broken_words(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, word) of each word in two parts with a hyphenation mark and white space between."""
     for m in _MARK.finditer(text):
-        at = m.start()
-        left = text[max(0, at - 40) : at]
-        if left[-1:] == " ":
-            left = left[:-1]
-        a, b = _BEFORE.search(left), _BEHIND.match(text, m.end())
-        if a and b and any(c.isalpha() for c in a.group()):
-            head, tail = a.group().lstrip(_OUTER), b.group(1).rstrip(_OUTER)
+        end = m.start()
+        if text[end - 1 : end] == " ":
+            end -= 1
+        at = end
+        while at and text[at - 1] not in _STOPS and not text[at - 1].isspace():
+            at -= 1
+        b = _BEHIND.match(text, m.end())
+        if b and any(map(str.isalpha, text[at:end])):
+            head, tail = text[at:end].lstrip(_OUTER), b.group(1).rstrip(_OUTER)
             if head and tail:
-                yield at - (len(text[max(0, at - 40) : at]) - len(left)) - len(head), b.start(1) + len(tail), head + tail
+                yield end - len(head), b.start(1) + len(tail), head + tail
 
 
+_MARKS = "!|\\*#•·<>=+%&§$€{}_¬\xad"
 _OUTER = "()[]«»„“”\",.;:?…!|*'’"
 
 
 def _trimmed(piece: str) -> str:
-    return piece.strip("!|\\*#•·<>=+%&§$€{}_¬\xad").lower()
+    return piece.strip(_MARKS).lower()
 
 
-def _suspects(odd: bytes, near: bytes):
-    def looked_up(piece: str) -> tuple[str | None, str] | None:
+def _suspects(odd: bytes, near: bytes, several: bytes):
+    def looked_up(piece: str) -> tuple[str, str, bool] | None:
+        """(key, form, whether its left neighbours are counted) of what may be misread or stand for it."""
         form = _trimmed(piece)
         if len(form) > 2 and _PURE.fullmatch(form):
-            return ("p", form) if _has(odd, form) else ("", form) if _has(near, form) else None
+            key, counted = "p" if _has(odd, form) else "", _has(near, form)
+            return (key, form, counted) if key or counted else None
         key = suspect(piece)
-        return (key, form) if key else None
+        return (key, form, _has(several, key)) if key else None
 
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str | None, str] | None] = {}
+        known: dict[str, tuple[str, str, bool] | None] = {}
         lefts: Counter[tuple[str, str]] = Counter()
 
         def counted() -> list[tuple]:
@@ -278,7 +283,7 @@ def _suspects(odd: bytes, near: bytes):
         for rows in batches:
             out: set[tuple] = set()
             for id_, text, book, chapter, summary in rows[["id", "text", "book", "chapter", "summary"]].itertuples(index=False, name=None):
-                lines, kinds = split_lines(text, [t for t in (_title(book), _title(chapter)) if len(t) > 7], bool(summary))
+                lines, kinds = split_lines(text, title_keys(book, chapter), bool(summary))
                 out.update((id_, k, None, None, None) for k in kinds if k)
                 plain, left = False, ""
                 for piece in _PIECE.findall(text):
@@ -289,26 +294,28 @@ def _suspects(odd: bytes, near: bytes):
                             known.clear()
                         found = known[piece] = looked_up(piece)
                     if found:
-                        if found[0] == "p":
+                        key, form, wanted = found
+                        if key == "p":
                             plain = True
-                        elif found[0]:
-                            out.add((id_, "misread", *found, None))
                         else:
-                            lefts[left.lower(), found[1]] += 1
+                            if key:
+                                out.add((id_, "misread", key, form, None))
+                            if wanted:
+                                lefts[left.lower(), form] += 1
                     left = piece
                 if plain:  # what a hyphenation mark leaves of a word is none
                     parts, left = [(a, b) for a, b, _ in broken_words(text)], ""
                     for m in _PIECE.finditer(text):
                         found = known.get(m.group()) or looked_up(m.group())
                         if found and found[0] == "p" and not any(a < m.end() and m.start() < b for a, b in parts):
-                            out.add((id_, "misread", *found, None))
-                            if _has(near, found[1]):
+                            out.add((id_, "misread", "p", found[1], None))
+                            if found[2]:
                                 lefts[left.lower(), found[1]] += 1
                         left = m.group()
                 body = "\n".join(l for l, k in zip(lines, kinds) if not k) if any(kinds) else text
                 for _, _, word in broken_words(body):
                     word = word.lower()
-                    if 3 < len(word) < 60:
+                    if len(word) > 3:
                         out.add((id_, "hyphenation", "s:" + skeleton(word), word, None))
                         form = _trimmed(word)
                         key = ("p" if _has(odd, form) else "j" if _PAIRED.search(form) else None) if _PURE.fullmatch(form) else suspect(word)
@@ -325,20 +332,27 @@ def _suspects(odd: bytes, near: bytes):
     return suspects
 
 
-def candidates(chunks: DataFrame, pairs: DataFrame, *, id: str = "chunk_id", text: str = "text", book: str = "book_title", chapter: str = "chapter_title", summary: str = "is_summary") -> DataFrame:
-    """(id, noise, key, form, n): lines that are noise (no key), and words that are if their key has a frequent form,
-    or the pairs have their form (key p; j for a broken word that is nowhere whole). Rows of no id say how often a
-    form (noise left) stands after the word that is its key."""
+def candidates(chunks: DataFrame, frequent: DataFrame, pairs: DataFrame, *, id: str = "chunk_id", text: str = "text", book: str = "book_title", chapter: str = "chapter_title", summary: str = "is_summary") -> DataFrame:
+    """(id, noise, key, form, n): lines that are noise (no key), and words that are if their group has a frequent form,
+    or the pairs have their form (key p; j for a broken word that is nowhere whole). Rows with n say how often a form
+    (noise left) stands after the word that is its key; only forms of groups with several frequent ones, and of unsure
+    pairs, are counted."""
     rows = chunks.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.coalesce(summary, F.lit(False)).alias("summary"))
     unsure = pairs.where("not sure")
-    scan = _suspects(filter_of(pairs.select("form")), filter_of(unsure.select("form").unionByName(unsure.select(F.col("meant").alias("form")))))
+    several = groups(frequent).groupBy("key").agg(F.count("*").alias("forms"), F.collect_set("form").alias("form")).where("forms > 1").checkpoint()
+    near = unsure.select("form").unionByName(unsure.select(F.col("meant").alias("form"))).unionByName(several.select(F.explode("form").alias("form")))
+    scan = _suspects(filter_of(pairs.select("form")), filter_of(near), filter_of(several.select(F.col("key").alias("form"))))
     return rows.mapInPandas(scan, f"id {dict(rows.dtypes)['id']}, noise string, key string, form string, n long")
 
 
-def supported(pairs: DataFrame, odd: DataFrame) -> DataFrame:
+def neighbours(odd: DataFrame) -> DataFrame:
+    """(left, form, times) of the forms whose left neighbours were counted."""
+    return odd.where("noise = 'left'").groupBy(F.col("key").alias("left"), "form").agg(F.sum("n").alias("times"))
+
+
+def supported(pairs: DataFrame, lefts: DataFrame) -> DataFrame:
     """The pairs that are sure, and those whose meant form is much more frequent after the left neighbours of half of
     the odd form's occurrences or more."""
-    lefts = odd.where("noise = 'left'").groupBy(F.col("key").alias("left"), "form").agg(F.sum("n").alias("times"))
     after = pairs.where("not sure").join(lefts, "form")
     both = after.join(lefts.withColumnsRenamed({"form": "meant", "times": "both"}), ["left", "meant"], "left")
     there = F.col("both") >= F.greatest(F.lit(FLOOR), MUCH_RARER * F.col("times"))
@@ -346,13 +360,18 @@ def supported(pairs: DataFrame, odd: DataFrame) -> DataFrame:
     return pairs.where("sure").select("form", "meant", "n").unionByName(shares.where("2 * good >= all").select("form", "meant", "n"))
 
 
-def misread_forms(odd: DataFrame, forms: DataFrame, frequent: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(form, meant, n) of the misread forms that have a frequent form, with each one they may stand for."""
-    words = odd.where("noise = 'misread' and key is not null and key not like '!%'")
+def meanings(odd: DataFrame, forms: DataFrame, frequent: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(form, meant): the frequent form that each misread form stands for: of several the one its left neighbours
+    support best, then the most frequent, then the first."""
+    words, lefts = odd.where("noise = 'misread'"), neighbours(odd)
     glyphs = resolved(words.where("key like 's:%'"), frequent).select("form", "meant", "n")
     only = words.where("key = 'j'").select("form").distinct().join(forms, "form", "left_anti").withColumn("n", F.lit(1).cast("long"))
     joined = plain_pairs(only, frequent).where("sure").select("form", "meant", "n")
-    return glyphs.unionByName(supported(pairs, odd)).unionByName(joined)
+    choices = glyphs.unionByName(supported(pairs, lefts)).unionByName(joined).groupBy("form", "meant").agg(F.max("n").alias("n"))
+    near = lefts.withColumnsRenamed({"form": "meant", "times": "both"})
+    support = choices.join(lefts, "form").join(near, ["left", "meant"]).groupBy("form", "meant").agg(F.sum(F.log1p("both")).alias("support"))
+    order = F.struct(-F.coalesce("support", F.lit(0.0)), -F.col("n"), F.col("meant"))
+    return choices.join(support, ["form", "meant"], "left").groupBy("form").agg(F.min_by("meant", order).alias("meant"))
 
 
 def resolved(forms: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -371,44 +390,22 @@ def broken(odd: DataFrame, frequent: DataFrame) -> DataFrame:
     return words.join(whole.select("key", "form"), ["key", "form"], "left_semi")
 
 
-def noise(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", **columns: str) -> DataFrame:
-    """(id, noise), one row per record and kind of noise."""
+def _found(chunks: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The candidates, the frequent forms, and (form, meant) of the misread ones."""
     ensure_checkpoints(chunks.sparkSession)
-    forms = plain_forms(chunks, text=text)
+    forms = plain_forms(chunks, text=columns.get("text", "text"))
     frequent = lexicon(forms)
     pairs = plain_pairs(forms, frequent).checkpoint()
-    odd = candidates(chunks, pairs, id=id, text=text, **columns).checkpoint()
-    sure = odd.where("noise != 'left' and (key is null or key like '!%')").select("id", "noise")
-    words = odd.where("noise = 'misread' and key is not null and key not like '!%'")
-    misread = words.join(misread_forms(odd, forms, frequent, pairs).select("form").distinct(), "form", "left_semi")
-    return sure.unionByName(misread.select("id", "noise")).unionByName(broken(odd, frequent).select("id", "noise")).distinct().withColumnRenamed("id", id)
-
-
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of neighbouring words: (left, word, n)."""
-    for rows in batches:
-        plain: Counter[tuple[str, str]] = Counter()
-        for text in rows["text"]:
-            pieces = [p.lower() for p in _PIECE.findall(text)]
-            plain.update(zip(["", *pieces], pieces))
-        out = [(left, _trimmed(word), n) for (left, word), n in plain.items() if _PURE.fullmatch(left or "a")]
-        if out:
-            yield pd.DataFrame(out, columns=["left", "word", "n"])
+    odd = candidates(chunks, frequent, pairs, **columns).checkpoint()
+    return odd, frequent, meanings(odd, forms, frequent, pairs)
 
 
-def meanings(chunks: DataFrame, found: DataFrame, *, text: str = "text") -> DataFrame:
-    """(form, meant): the frequent form that each misread form stands for, the one its left neighbours support
-    best, then the most frequent, then the first."""
-    rows = chunks.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    pairs = rows.mapInPandas(_pairs, "left string, word string, n long").groupBy("left", "word").agg(F.sum("n").alias("n"))
-    choices = found.select("form", "meant").distinct()
-    several = choices.groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form")
-    seen = pairs.join(several, pairs["word"] == several["form"], "left_semi").select(F.col("word").alias("form"), "left")
-    with_left = seen.join(choices, "form").join(pairs.select("left", F.col("word").alias("meant"), F.col("n").alias("both")), ["left", "meant"])
-    support = with_left.groupBy("form", "meant").agg(F.sum(F.log1p("both")).alias("support"))
-    best = found.groupBy("form", "meant").agg(F.max("n").alias("n")).join(support, ["form", "meant"], "left")
-    order = F.struct(-F.coalesce("support", F.lit(0.0)), -F.col("n"), F.col("meant"))
-    return best.groupBy("form").agg(F.min_by("meant", order).alias("meant"))
+def noise(chunks: DataFrame, *, id: str = "chunk_id", **columns: str) -> DataFrame:
+    """(id, noise), one row per record and kind of noise."""
+    odd, frequent, meant = _found(chunks, id=id, **columns)
+    lines = odd.where("noise != 'left' and key is null").select("id", "noise")
+    misread = odd.where("noise = 'misread'").join(meant, "form", "left_semi").select("id", "noise")
+    return lines.unionByName(misread).unionByName(broken(odd, frequent).select("id", "noise")).distinct().withColumnRenamed("id", id)
 
 
 def _like(word: str, model: str) -> str:
@@ -419,7 +416,10 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         out = []
         for text, book, chapter, summary, words, joins in rows[["text", "book", "chapter", "summary", "words", "joins"]].itertuples(index=False, name=None):
-            lines, kinds = split_lines(text, [t for t in (_title(book), _title(chapter)) if len(t) > 7], bool(summary))
+            if text is None:
+                out.append(None)
+                continue
+            lines, kinds = split_lines(text, title_keys(book, chapter), bool(summary))
             body = "\n".join(l for l, k in zip(lines, kinds) if not k)
             if joins is not None and len(joins):
                 whole, at, parts = set(joins), 0, []
@@ -433,42 +433,37 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
                 def swap(m):
                     piece = m.group()
-                    form = piece.strip("!|\\*#•·<>=+%&§$€{}_¬\xad")
+                    form = piece.strip(_MARKS)
                     new = meant.get(form.lower())
                     return piece.replace(form, _like(new, form)) if new else piece
 
                 body = _PIECE.sub(swap, body)
             out.append(body)
-        yield pd.DataFrame({"id": rows["id"], "body": out})
+        yield rows[["row", "id"]].assign(body=out)
 
 
 def repaired(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", book: str = "book_title", chapter: str = "chapter_title", summary: str = "is_summary") -> DataFrame:
-    """(id, paragraphs): every text without the noise, its lines reflowed. Ids must be unique; a null text stays null."""
+    """(id, paragraphs): every text without the noise, its lines reflowed. A null text stays null."""
     ensure_checkpoints(chunks.sparkSession)
-    forms = plain_forms(chunks, text=text)
-    frequent = lexicon(forms)
-    pairs = plain_pairs(forms, frequent).checkpoint()
-    odd = candidates(chunks, pairs, id=id, text=text, book=book, chapter=chapter, summary=summary).checkpoint()
-    plain = odd.where("noise = 'misread' and key like '!%'").select("id", "form").distinct()
-    glyphs = F.udf(lambda form: skeleton(form), StringType())
-    by_word = meanings(chunks, misread_forms(odd, forms, frequent, pairs).checkpoint(), text=text)
-    words = odd.where("noise = 'misread' and key is not null").select("id", "form").distinct().join(by_word, "form").unionByName(plain.join(by_word, "form", "left_anti").select("form", "id", glyphs("form").alias("meant")))
-    words = words.groupBy("id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("form", "meant")))).alias("words"))
-    joins = broken(odd, frequent).groupBy("id").agg(F.collect_set("form").alias("joins"))
-    rows = chunks.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.coalesce(summary, F.lit(False)).alias("summary"))
-    ready = rows.where("text is not null").join(words, "id", "left").join(joins, "id", "left")
-    kind = dict(rows.dtypes)["id"]
-    lines = ready.mapInPandas(_repair, f"id {kind}, body string").select("id", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
+    own = chunks.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(text).alias("text"), F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.coalesce(summary, F.lit(False)).alias("summary"))
+    rows = own.checkpoint()  # the numbers must stay
+    odd, frequent, meant = _found(rows, id="row", text="text", book="book", chapter="chapter", summary="summary")
+    words = odd.where("noise = 'misread'").select("id", "form").distinct().join(meant, "form")
+    words = words.groupBy(F.col("id").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("form", "meant"))).alias("words"))
+    joins = broken(odd, frequent).groupBy(F.col("id").alias("row")).agg(F.collect_set("form").alias("joins"))
+    ready = rows.join(words, "row", "left").join(joins, "row", "left")
+    bodies = ready.mapInPandas(_repair, f"row long, id {dict(rows.dtypes)['id']}, body string")
+    lines = bodies.select("row", "id", F.posexplode_outer(F.split("body", "\n", -1)).alias("pos", "line"))
     # a paragraph starts after a blank line; a row of a table or an item of a list stands by itself
     own = F.col("line").rlike(r"^\s*(?:\||[-*•#]\s|\d+[.)]\s)")
     blank = F.col("line").rlike(r"^\s*$")
-    order = Window.partitionBy("id").orderBy("pos")
-    marked = lines.select("id", "pos", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line"), own.alias("own"), blank.alias("blank"))
+    order = Window.partitionBy("row").orderBy("pos")
+    marked = lines.select("row", "id", "pos", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line"), own.alias("own"), blank.alias("blank"))
     marked = marked.withColumn("starts", F.col("own") | F.coalesce(F.lag("blank").over(order) | F.lag("own").over(order), F.lit(True)))
-    marked = marked.withColumn("par", F.sum(F.col("starts").cast("int")).over(order)).where(~F.col("blank"))
-    pars = marked.groupBy("id", "par").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("text"), F.first("own").alias("own"))
-    whole = pars.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("par", "own", "text"))).alias("p"))
+    marked = marked.withColumn("par", F.sum(F.col("starts").cast("int")).over(order))
+    line = F.when(~F.col("blank"), F.struct("pos", "line"))
+    pars = marked.groupBy("row", "par").agg(F.any_value("id").alias("id"), F.max("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), " ").alias("text"), F.bool_or("own").alias("own"))
+    whole = pars.groupBy("row").agg(F.any_value("id").alias("id"), F.max("pos").alias("lines"), F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("par", "own", "text")))).alias("p"))
     text_of = F.aggregate("p", F.struct(F.lit("").alias("t"), F.lit(False).alias("own")), lambda acc, x: F.struct(
         F.when(acc["t"] == "", x["text"]).otherwise(F.concat(acc["t"], F.when(acc["own"] & x["own"], "\n").otherwise("\n\n"), x["text"])).alias("t"), x["own"].alias("own")))
-    done = whole.select("id", text_of["t"].alias("paragraphs"))
-    return rows.select("id", "text").join(done, "id", "left").select(F.col("id").alias(id), F.when(F.col("text").isNotNull(), F.coalesce("paragraphs", F.lit(""))).alias("paragraphs"))
+    return whole.select(F.col("id").alias(id), F.when(F.col("lines").isNotNull(), text_of["t"]).alias("paragraphs"))

@@ -375,8 +375,33 @@ def test_page_lines_in_roman_numerals(line, wanted):
 
 
 def test_numbered_roman_lines():
-    assert scans.split_lines("It rises in the\nxvii\nmorning.\nxii.\nand falls", [], False)[1] == [None, "page_number", None, "page_number", None]
-    assert scans.split_lines("is one of\nc.\nThe next", [], False)[1] == [None] * 3
+    assert scans.split_lines("It rises in the\nxvii\nmorning.\nxii.\nand falls", frozenset(), False)[1] == [None, "page_number", None, "page_number", None]
+    assert scans.split_lines("is one of\nc.\nThe next", frozenset(), False)[1] == [None] * 3
+
+
+def test_repair_of_repeated_rows_and_ids(spark):
+    rows = [(1, "One line here.\nAnd more."), (1, "One line here.\nAnd more."), (1, "Two lines.\n\nApart."), (None, "- a\n- b\n\nend"), (2, None), (3, " \n")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").selectExpr("*", "string(null) book_title", "string(null) chapter_title", "false is_summary", "5 row", "6 pos")
+    got = sorted(((r.chunk_id, r.paragraphs) for r in scans.repaired(chunks).collect()), key=str)
+    assert got == sorted([(1, "One line here. And more."), (1, "One line here. And more."), (1, "Two lines.\n\nApart."), (None, "- a\n- b\n\nend"), (2, None), (3, "")], key=str)
+
+
+def test_long_words_lines_and_titles(spark):
+    """No length is too long: words over 60 letters, broken ones over 40, titles of one word, long lines."""
+    long = "pneumo" * 12 + "coniosis"
+    rows = [
+        (1, f"The {long} healed. " * 5, None), (2, f"The {long[:50]}-\n{long[50:]} healed.", None), (3, f"The {long[:70]}^{long[70:]} healed.", None),
+        (4, "Text of it.\nFever  | 12\nMore text.", "Fever"), (5, "Text.\n" + "F e v e r  a n d  c o u g h" + " " * 300 + "7\nMore.", "Fever and cough"), (6, "x " * 300 + "\nno head", "Fever"),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, book_title string").selectExpr("*", "string(null) chapter_title", "false is_summary")
+    assert sorted(tuple(r) for r in scans.noise(chunks).collect()) == [(2, "hyphenation"), (3, "misread"), (4, "running_head"), (5, "running_head")]
+
+
+def test_meanings_by_left_neighbours(spark):
+    """Of two frequent words with one skeleton the one that stands behind the same words is chosen."""
+    rows = [(1, "the water man " * 9 + "a big wafer " * 30), (2, "the wa|er man"), (3, "the wa|er")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").selectExpr("*", "string(null) book_title", "string(null) chapter_title", "false is_summary")
+    assert {r.chunk_id: r.paragraphs for r in scans.repaired(chunks).where("chunk_id > 1").collect()} == {2: "the water man", 3: "the water"}
 
 
 def test_plain_words_misread(spark):
