@@ -93,7 +93,7 @@ def section_summaries(chunks: DataFrame, *, book: str = "book_id", path: str = "
     """(book, path, chunk_index, text): of each named section, its path and the start of its first chunk; numbered on
     from the book's chunks in order of first appearance. They don't count in term statistics."""
     named = chunks.where(F.trim(F.coalesce(path, F.lit(""))) != "")
-    first = named.groupBy(book, path).agg(F.min(F.struct(F.col(index).alias("i"), F.col(text).alias("t"))).alias("f"))
+    first = named.groupBy(book, path).agg(F.min(F.struct(F.col(index).alias("i"), F.substring(text, 1, preview).alias("t"))).alias("f"))
     total = chunks.groupBy(book).agg(F.count("*").alias("__total"))
     placed = numbered(first.withColumn("__i", F.col("f.i")), book, "__i", [path], "__n").join(total, book)
-    return placed.select(book, path, (F.col("__total") + F.col("__n") - 1).cast("int").alias("chunk_index"), F.concat(F.col(path), F.lit("\n\n"), F.substring(F.coalesce("f.t", F.lit("")), 1, preview)).alias("text"))
+    return placed.select(book, path, (F.col("__total") + F.col("__n") - 1).cast("int").alias("chunk_index"), F.concat(F.col(path), F.lit("\n\n"), F.coalesce("f.t", F.lit(""))).alias("text"))

@@ -6,7 +6,9 @@ word limits; blank names never match.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import keywords
 
-#: a dictionary goes to every task, so it may not have more names than this
+#: names that go to the tasks at once, about; more are found in several passes
 MOST_NAMES = 200_000
+#: letters by which terms and names meet
+GRAM = 3
 
 
 def names(illnesses: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -26,16 +30,26 @@ def names(illnesses: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     return rows.where("trim(name) != ''").distinct()
 
 
-def tagged(texts: DataFrame, entries: DataFrame, *, id: str = "chunk_id", text: str = "text") -> DataFrame:
+def tagged(texts: DataFrame, entries: DataFrame, *, id: str = "chunk_id", text: str = "text", most: int = MOST_NAMES) -> DataFrame:
     """(id, codes): the sorted codes of all names that a text contains. Texts without any aren't listed.
 
-    The names go to the tasks as one automaton, which finds them all in one pass over a text.
+    The names go to the tasks as one automaton, which finds them all in one pass over a text. More than ``most`` names
+    are split by hash into several automata, one pass each, whose hits of a row are put together.
     """
-    rows = entries.select("code", F.lower("name").alias("name")).limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"a dictionary of more than {MOST_NAMES} names must be split")
+    names_ = entries.select("code", F.lower("name").alias("name"))
+    passes = math.ceil(names_.count() / most) or 1
+    if passes == 1:
+        return _tagged(texts, names_, id, text)
+    rows = texts.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    numbered = rows.select(F.struct("row", "id").alias("key"), "text")
+    hits = [_tagged(numbered, names_.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == n), "key", "text") for n in range(passes)]
+    codes = reduce(DataFrame.unionByName, hits).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
+    return codes.select(F.col("key.id").alias(id), "codes")
+
+
+def _tagged(texts: DataFrame, names_: DataFrame, id: str, text: str) -> DataFrame:
     codes: dict[str, set[str]] = {}
-    for r in rows:
+    for r in names_.collect():
         codes.setdefault(r["name"], set()).add(r["code"])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,16 +61,18 @@ def tagged(texts: DataFrame, entries: DataFrame, *, id: str = "chunk_id", text:
         if codes:
             automaton.make_automaton()
         for part in batches:
-            out = []
-            for key, low in zip(part["id"], part["low"]):
+            at, found = [], []
+            for n, low in enumerate(part["low"]):
                 hit: set[str] = set()
                 for _, own in automaton.iter(low) if codes else ():
                     hit |= own
                 if hit:
-                    out.append((key, sorted(hit)))
-            yield pd.DataFrame(out, columns=["id", "codes"])
+                    at.append(n)
+                    found.append(sorted(hit))
+            if at:
+                yield part.iloc[at][["id"]].assign(codes=found)
 
-    kind = dict(texts.dtypes)[id]
+    kind = texts.schema[id].dataType.simpleString()
     low = texts.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.lower(text).alias("low"))
     return low.mapInPandas(find, f"id {kind}, codes array<string>").withColumnRenamed("id", id)
 
@@ -74,20 +90,34 @@ def expanded(queries: DataFrame, entries: DataFrame, *, query: str = "qid", text
     return first.select(query, F.col("f.term").alias("term"), F.col("f.pos").alias("pos"))
 
 
-def looked_up(codes: DataFrame, illnesses: DataFrame, *, code: str = "icd_code") -> DataFrame:
-    """The rows of ``codes`` with the entry of the same code, whatever its case; no entry gives nulls."""
+def looked_up(codes: DataFrame, illnesses: DataFrame, *, code: str = "icd_code", aliases: DataFrame | None = None) -> DataFrame:
+    """The rows of ``codes`` with the entry of the same code, whatever its case; no entry gives nulls. With aliases
+    (icd_code, alias) there is also their sorted array, empty where an entry has none."""
     entry = illnesses.select(F.upper("icd_code").alias("__code"), "name_en", "name_bg")
+    if aliases is not None:
+        entry = with_aliases(entry, aliases, "__code")
     return codes.join(entry, F.upper(F.col(code)) == F.col("__code"), "left").drop("__code")
 
 
+def with_aliases(illnesses: DataFrame, aliases: DataFrame, code: str = "icd_code") -> DataFrame:
+    """The entries with ``aliases``, the sorted array of those that aren't blank."""
+    own = aliases.where("trim(alias) != ''").groupBy(F.upper("icd_code").alias("__own")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    return illnesses.join(own, F.upper(F.col(code)) == F.col("__own"), "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).drop("__own")
+
+
 def searched(terms: DataFrame, illnesses: DataFrame, *, query: str = "qid", term: str = "term", k: int = 50) -> DataFrame:
     """(query, icd_code, name_en) of the entries whose name contains the term or whose code starts with it, the
-    first k by English name. Terms meet the names' parts by equality: a name has a bounded number of parts."""
-    part = lambda c: F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("icd_code")), lambda n: F.lower(F.substring("icd_code", F.lit(1), n))))
+    first k by English name. A term meets the names that have its first three letters (or as many as it has), and is
+    then looked for in those."""
     entry = illnesses.where("icd_code is not null")
-    parts = entry.where("length(name_en) > 0").select("icd_code", part(F.lower("name_en")).alias("low"))
-    parts = parts.unionByName(entry.where("length(name_bg) > 0").select("icd_code", part(F.lower("name_bg")).alias("low"))).unionByName(entry.select("icd_code", prefix.alias("low"))).distinct()
-    hits = terms.where(F.trim(term) != "").select(query, F.lower(term).alias("low")).distinct().join(parts, "low").select(query, "icd_code").distinct()
+    low = entry.select("icd_code", F.explode(F.filter(F.array(F.lower("name_en"), F.lower("name_bg")), lambda n: F.length(n) > 0)).alias("low"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("low") - i + 1)), lambda n: F.substring("low", i, n)))
+    parts = low.select("icd_code", "low", F.lit(False).alias("start"), F.explode(F.array_distinct(F.flatten(grams))).alias("gram"))
+    code = F.lower("icd_code")
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(code))), lambda n: F.substring(code, F.lit(1), n))
+    parts = parts.unionByName(entry.where("icd_code != ''").select("icd_code", code.alias("low"), F.lit(True).alias("start"), F.explode(starts).alias("gram")))
+    asked = terms.where(F.trim(term) != "").select(query, F.lower(term).alias("__term")).distinct().withColumn("gram", F.substring("__term", 1, GRAM))
+    there = F.when(F.col("start"), F.startswith("low", "__term")).otherwise(F.contains("low", "__term"))
+    hits = asked.join(parts, "gram").where(there).select(query, "icd_code").distinct()
     order = Window.partitionBy(query).orderBy("name_en", "icd_code")
     return hits.join(entry.select("icd_code", "name_en"), "icd_code").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select(query, "icd_code", "name_en", "n")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,15 +33,13 @@ def hashing(dimension: int = 256) -> Callable[[], Embedder]:
     """An embedder of the words' hashes with signs, square roots of counts, length one."""
 
     def make() -> Embedder:
-        word, known = re.compile(r"[^\W\d_]{2,}"), {}
+        word, hashed = re.compile(r"[^\W\d_]{2,}"), lru_cache(maxsize=1 << 16)(lambda w: zlib.crc32(w.encode()))
 
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dimension), dtype=np.float32)
             for n, text in enumerate(texts):
                 for w in word.findall(text.split(": ", 1)[-1].lower() if text.startswith(tuple(PREFIXES.values())) else text.lower()):
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = zlib.crc32(w.encode())
+                    h = hashed(w)
                     out[n, h % dimension] += 1 if h >> 31 else -1
             out = np.sign(out) * np.sqrt(np.abs(out))
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-8)

@@ -36,7 +36,9 @@ def with_sections(hits: DataFrame, chunks: DataFrame, *, query: str = "qid", mos
     summary = F.coalesce("is_summary", F.lit(False))
     named = hits.join(chunks.where(summary & (F.coalesce("section_title", F.lit("")) != "")), "chunk_id").select(query, *section).distinct()
     order = Window.partitionBy(*section).orderBy("chunk_index", "chunk_id")
-    body = chunks.where(~summary).select("chunk_id", "chunk_index", *section).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    # only the chunks of sections that are hit are numbered
+    body = chunks.where(~summary).select("chunk_id", "chunk_index", *section).join(named.select(*section).distinct(), section, "left_semi")
+    body = body.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
     found = named.join(body, section).select(query, "chunk_id", F.lit("section").alias("via")).unionByName(hits.select(query, "chunk_id", F.lit("hit").alias("via")))
     return found.groupBy(query, "chunk_id").agg(F.min("via").alias("via"))
 

@@ -1,10 +1,12 @@
 """Keyed changes of tables, as new tables: nothing is changed in place.
 
-A null key matches nothing and is kept on the old side. Where the new rows repeat a key, the latest counts.
+A null key matches nothing: such rows are kept on the old side, and all come in on the new one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,24 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return first_of_each(rows, keys, order)
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows whose key isn't new, and the new ones. Keys of ``new`` must be unique."""
-    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+def _one_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key; rows with a null in the key are all kept."""
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return first_of_each(rows.where(known), keys, order).unionByName(rows.where(~known))
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """The old rows whose key isn't new, and the new ones. Of new rows with one key the first in ``order`` counts, by
+    default the greatest in all columns."""
+    fresh = _one_each(new.select(*old.columns), keys, order or [F.col(c).desc() for c in old.columns])
+    return old.join(fresh.select(*keys), keys, "left_anti").select(*old.columns).unionByName(fresh)
 
 
-def added(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows, and the new ones whose key isn't there yet."""
-    return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti").select(*old.columns))
+def added(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """The old rows, and the new ones whose key isn't there yet. Of new rows with one key the first in ``order`` comes
+    in, by default the least in all columns."""
+    fresh = _one_each(new.select(*old.columns), keys, order or [F.col(c).asc() for c in old.columns])
+    return old.unionByName(fresh.join(old.select(*keys).distinct(), keys, "left_anti").select(*old.columns))
 
 
 def removed(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -221,6 +221,23 @@ def index_points(s: SparkSession, d: str) -> DataFrame:
 
 # chunks and sections
 
+_SPACE = r"[\s\p{Z}\v\x85]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _clean(x: str) -> str:
+    specks = "'([Ѐ-ӿ])[çãőñõÇÃŐÑÕ]+([Ѐ-ӿ])'"
+    steps = (
+        (r"'!\[[^\]]*\]\(data:[^)]+\)'", ""), (r"'(?m)^[\s\v]*!\[[^\]]*\]\([^)]+\.(?:jpg|jpeg|png|gif|webp|svg)\)[\s\v]*$'", ""), (f"'{chr(0xAD)}[ \\t]*'", ""),
+        ("'([А-Яа-яЁёA-Za-z0-9]) - ([А-Яа-яёa-z])'", r"\1\2"), ("'([А-Яа-яЁёA-Za-z0-9])- ([А-Яа-яёa-z])'", r"\1\2"), (r"'[\t\v\f\r\p{Z}\x85]{2,}'", " "), (specks, r"\1\2"), (specks, r"\1\2"),
+    )
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, {pattern}, '{new}', 'g')"
+    return x
+
 
 @query(rf"""select chunk_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\(data:[^)]+\)', '', 'g'), '{chr(0xAD)}[ \t]*', '', 'g'),
 '([А-Яа-яЁёA-Za-z0-9]) - ([А-Яа-яёa-z])', '\1\2', 'g'), '([А-Яа-яЁёA-Za-z0-9])- ([А-Яа-яёa-z])', '\1\2', 'g'), '[\t\v\f\r\p{{Z}}\x85]{{2,}}', ' ', 'g') clean from chunks""")
@@ -229,12 +246,29 @@ def chunk_clean(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("chunk_id", text.single_spaces(t).alias("clean"))
 
 
-@query()
+@query(f"select chunk_id, {_clean('text')} clean from chunks")
 def chunk_clean_whole(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("chunk_id", text.clean_markdown(F.col("text")).alias("clean"))
 
 
-@query()
+_HEADING = "'^(#{1,6})" + _SPACE + "+(.+)'"
+
+
+@query(rf"""with l as (select doc_id, unnest(string_split(t, chr(10))) line, unnest(range(len(string_split(t, chr(10))))) pos from (select doc_id, {_clean('text')} t from documents where text is not null)),
+v as (select *, length(regexp_extract(line, {_HEADING}, 1)) lv from l), sec as (select *, sum((lv > 0)::int) over (partition by doc_id order by pos) section from v),
+hd as (select doc_id, list(struct_pack(lv := lv, title := {_strip(f"regexp_extract(line, {_HEADING}, 2)")}) order by section) hs from sec where lv > 0 group by doc_id),
+paths as (select doc_id, list_reduce(hs, lambda a, h: {{'stack': list_append(list_slice(a.stack, 1, least(len(a.stack), h.lv - 1)), h.title), 'path': list_append(a.path, array_to_string(list_append(list_slice(a.stack, 1, least(len(a.stack), h.lv - 1)), h.title), ' > '))}}, {{'stack': []::varchar[], 'path': []::varchar[]}}).path ps from hd),
+body as (select doc_id, section, {_strip("string_agg(line, chr(10) order by pos)")} t, coalesce(arg_max(kind, pos) filter (kind is not null), 'text') type
+  from (select *, case when starts_with({_strip('line')}, '|') then 'table' when substr({_strip('line')}, 1, 1) in ('-', '*') then 'list' end kind from sec where lv = 0) group by doc_id, section),
+cut as (select b.doc_id, section, type, coalesce(ps[section::int], '') path, case when length(t) // 4 <= 512 then [t] else (select list_transform(list_filter(list_append(r.done, r.now), lambda x: x <> ''), lambda x: {_strip('x')}) from (select list_reduce(string_split(regexp_replace(t, '([.!?]){_SPACE}+', '\1' || chr(1), 'g'), chr(1)),
+  lambda a, x: case when length(a.now) // 4 + length(x) // 4 > 512 and a.now <> '' then {{'done': list_append(a.done, a.now), 'now': x || ' '}} else {{'done': a.done, 'now': a.now || x || ' '}} end, {{'done': []::varchar[], 'now': ''}}) r)) end parts from body b left join paths using (doc_id) where t <> ''),
+pt as (select doc_id, section, path, type, unnest(parts) t, unnest(range(len(parts))) part from cut),
+ov as (select doc_id, section, part, path, type, case when lag(path) over w = path and least(512, 2047 - length(t)) > 0 then right(lag(t) over w, least(512, 2047 - length(t))) || chr(10) || t else t end t from pt window w as (partition by doc_id order by section, part)),
+whole as (select doc_id, list(struct_pack(path := path, text := t, type := type) order by section, part) c from ov group by doc_id),
+jn as (select doc_id, list_reduce(c, lambda a, x: case when a.now is null then {{'done': a.done, 'now': x}} when length(a.now.text) // 4 < 50 and a.now.path = x.path then {{'done': a.done, 'now': {{'path': a.now.path, 'text': a.now.text || chr(10) || x.text, 'type': a.now.type}}}} else {{'done': list_append(a.done, a.now), 'now': x}} end,
+  {{'done': []::struct(path varchar, text varchar, type varchar)[], 'now': null::struct(path varchar, text varchar, type varchar)}}) r from whole),
+fin as (select doc_id, list_append(r.done, r.now) c from jn)
+select doc_id, chunk_index, m.path path, m.type type, m.text as text from (select doc_id, unnest(c) m, unnest(range(len(c)))::int chunk_index from fin)""")
 def markdown_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunker.markdown_chunks(table(s, d, "documents").select("doc_id", "text"))
 
@@ -277,7 +311,9 @@ def outlines(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", text.outline(F.col("text")).alias("outline"))
 
 
-@query()
+@query(r"""with r as (select chunk_id, list_filter(string_split(text, chr(10)), lambda l: starts_with(trim(l), '|') and not regexp_matches(trim(l), '^\|[\s\v:|-]+\|?$')) rs from chunks where text is not null),
+n as (select chunk_id, unnest(rs) l, unnest(range(len(rs)))::int row from r), c as (select chunk_id, row, string_split(regexp_replace(trim(l), '^\||\|$', '', 'g'), '|') cells from n)
+select chunk_id, row, unnest(range(len(cells)))::int "column", unnest([trim(x) for x in cells]) cell from c""")
 def table_cells(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "chunks").where("text is not null").select("chunk_id", F.posexplode(table_rows(F.col("text"))).alias("row", "cells"))
     return rows.select("chunk_id", "row", F.posexplode("cells").alias("column", "cell"))
@@ -300,7 +336,8 @@ def latin_terms(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", F.explode(text.latin_terms(F.col("text"))).alias("term"))
 
 
-@query()
+@query(r"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ ,.!?():;\t\n/-]'), lambda x: regexp_matches(x, '^[a-z]{5,}$')) w from documents where text is not null), u as (select doc_id, unnest(w) term, unnest(range(len(w))) pos from t),
+b as (select doc_id, arg_max(term, struct_pack(n := length(term), p := -pos)) term from u group by doc_id) select doc_id, b.term from t left join b using (doc_id)""")
 def longest_terms(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", text.longest(text.latin_terms(F.col("text"))).alias("term"))
 
@@ -325,13 +362,21 @@ def citations(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", F.array_join(text.citations(F.col("text"), F.lit(5)), ",").alias("citations"))
 
 
-@query()
+_MARK = r"(\[[\s\v]*\d{1,9}(?:[\s\v]*,[\s\v]*\d{1,9})*[\s\v]*\])"
+
+
+@query(rf"""with p as (select doc_id, string_split(regexp_replace(text, '{_MARK}', chr(1) || '\1' || chr(1), 'g'), chr(1)) ps from documents where text is not null),
+u as (select doc_id, unnest(ps) x, unnest(range(len(ps))) i from p), n as (select *, case when regexp_full_match(x, '{_MARK}') then [k::int for k in regexp_extract_all(x, '(\d+)', 1)] else []::int[] end ks from u),
+h as (select *, len(ks) > 0 and list_min(ks) >= 1 and list_max(ks) <= 5 holds from n),
+e as (select doc_id, i, 0 j, x as text, null::int citation from h where not coalesce(holds, false) and x <> '' union all select doc_id, i, unnest(range(len(ks))) j, null, unnest(ks) from h where holds)
+select doc_id, (row_number() over (partition by doc_id order by i, j) - 1)::int pos, text, coalesce(citation, 0) citation from e""")
 def answer_segments(s: SparkSession, d: str) -> DataFrame:
     parts = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(text.answer_segments(F.col("text"), F.lit(5))).alias("pos", "p"))
-    return parts.select("doc_id", "pos", "p.text", "p.citation")
+    return parts.select("doc_id", "pos", "p.text", F.coalesce("p.citation", F.lit(0)).alias("citation"))
 
 
-@query()
+@query(r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>[\s\v]*', '', 'g'), '(?m)^#{1,6}[\s\v]+', '', 'g'), '(?s)\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '(?m)^[ \t]*[-*][\s\v]+', '', 'g'), '(?m)^[ \t]*\d+\.[\s\v]+', '', 'g'),
+'^[\s\p{Z}\v\x85]+|[\s\p{Z}\v\x85]+$', '', 'g') answer from documents where text is not null""")
 def stripped_answers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", text.stripped_answer(F.col("text")).alias("answer"))
 

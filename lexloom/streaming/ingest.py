@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors can read: under spark.checkpoint.dir, or a temporary one where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder where all executors can read, under spark.checkpoint.dir. Where that isn't set, one of the machine's
+    own for a session that runs on it alone, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -55,24 +60,32 @@ def drained(result: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     return last.select(*keys, "last.*")
 
 
-def worked(jobs: DataFrame, handle: Callable[[Row], None], folder: str) -> DataFrame:
+def worked(jobs: DataFrame, handle: Callable[[Row], None], folder: str, flush: int = 1000) -> DataFrame:
     """Runs a stream of jobs one after the other until it has caught up; gives (batch, job, state, error) of each.
 
     A job that fails doesn't stop the others. Jobs of a batch that ran only in part run again, so ``handle`` must be
-    a keyed change; their status is then written anew. A batch holds the jobs of the files of one trigger.
+    a keyed change; their status is then written anew. A batch holds the jobs of the files of one trigger; they come
+    to the driver one partition at a time, and their status is written every ``flush`` jobs.
     """
     spark = jobs.sparkSession
     out = f"{folder}/status"
 
+    def write(done: list[tuple], batch: int, part: int) -> None:
+        spark.createDataFrame(done, "batch long, job string, state string, error string").coalesce(1).write.mode("overwrite" if part == 0 else "append").parquet(f"{out}/{batch}")
+
     def batch_of(rows: DataFrame, batch: int) -> None:
-        done = []
-        for job in rows.collect():
+        done: list[tuple] = []
+        part = 0
+        for job in rows.toLocalIterator():
+            if len(done) == flush:
+                write(done, batch, part)
+                done, part = [], part + 1
             try:
                 handle(job)
                 done.append((batch, json.dumps(job.asDict(), default=str), "done", None))
             except Exception as problem:  # noqa: BLE001
                 done.append((batch, json.dumps(job.asDict(), default=str), "failed", str(problem)[:500]))
-        spark.createDataFrame(done, "batch long, job string, state string, error string").coalesce(1).write.mode("overwrite").parquet(f"{out}/{batch}")
+        write(done, batch, part)
 
     query = jobs.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(batch_of).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -373,3 +373,64 @@ def test_stream_of_unordered_files(spark, tmp_path):
         spark.sql(f"select timestamp_ntz'2024-01-{day:02} 05:00:00' ts, 'a' event_type, 1.0D value from range(3)").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     got = {(r.day, r.events, r.value) for r in registry.stream_daily_counts(spark, str(tmp_path)).collect()}
     assert got == {("2024-01-20", 3, 3.0), ("2024-01-01", 6, 6.0), ("2024-01-10", 3, 3.0)}
+
+
+def test_new_rows_that_repeat_a_key(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (2, "p"), (2, "q"), (2, "q"), (None, "m"), (None, "m")], "k int, v string")
+    rows = lambda frame: sorted((tuple(r) for r in frame.collect()), key=str)
+    assert rows(store.added(old, new, ["k"])) == sorted([(1, "a"), (2, "p"), (None, "n"), (None, "m"), (None, "m")], key=str)
+    assert rows(store.upserted(old, new, ["k"])) == sorted([(1, "y"), (2, "q"), (None, "n"), (None, "m"), (None, "m")], key=str)
+    assert rows(store.upserted(old, new, ["k"], [F.col("v")])) == sorted([(1, "x"), (2, "p"), (None, "n"), (None, "m"), (None, "m")], key=str)
+    assert rows(store.added(old, new.limit(0), ["k"])) == rows(old)
+
+
+def test_dictionary_in_several_passes(spark):
+    names = spark.createDataFrame([(f"C{n}", f"name{n}x") for n in range(40)] + [("D", "name3x")], "code string, name string")
+    texts = spark.createDataFrame([(1, "NAME3X and name17x"), (1, "name5x"), (2, "none"), (None, "name39x"), (3, None)], "chunk_id long, text string").withColumn("row", F.lit(1))
+    wanted = sorted([(1, ["C17", "C3", "D"]), (1, ["C5"]), (None, ["C39"])], key=str)
+    for most in (1000, 7, 1):
+        assert sorted(((r.chunk_id, r.codes) for r in dictionary.tagged(texts, names, most=most).collect()), key=str) == wanted
+
+
+def test_aliases(spark):
+    ills = spark.createDataFrame([("e05", "Graves", None), ("Q1", "Fever", None)], "icd_code string, name_en string, name_bg string")
+    aliases = spark.createDataFrame([("E05", "b"), ("e05", "a"), ("E05", " "), ("Z", "z")], "icd_code string, alias string")
+    codes = spark.createDataFrame([("E05",), ("q1",), ("X",)], "icd_code string")
+    assert {r.icd_code: (r.name_en, r.aliases) for r in dictionary.looked_up(codes, ills, aliases=aliases).collect()} == {"E05": ("Graves", ["a", "b"]), "q1": ("Fever", []), "X": (None, None)}
+    assert {r.icd_code: r.aliases for r in dictionary.with_aliases(ills, aliases).collect()} == {"e05": ["a", "b"], "Q1": []}
+
+
+def test_search_in_the_dictionary_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(f"{rng.choice('AB')}{n}", "".join(rng.choices("abc ", k=rng.randint(0, 9))) if n % 7 else None, "".join(rng.choices("абв", k=4))) for n in range(60)] + [(None, "abc", "абв"), ("", "cab", None)]
+    terms = ["a", "ab", "abc", "bcab", "Б", "аб", "b1", "a12", "zz", " ", "c a"]
+    ills = spark.createDataFrame(rows, "icd_code string, name_en string, name_bg string")
+    got = {(r.qid, r.icd_code) for r in dictionary.searched(spark.createDataFrame([(t, t) for t in terms], "qid string, term string"), ills, k=1000).collect()}
+    low = lambda x: (x or "").lower()
+    assert got == {(t, c) for t in terms if t.strip() for c, a, b in rows if c is not None and (low(t) in low(a) or low(t) in low(b) or low(c).startswith(low(t)))}
+
+
+def test_jobs_of_one_batch_in_pieces(spark, tmp_path):
+    spark.range(25).coalesce(1).write.parquet(str(tmp_path / "jobs" / "x.parquet"))
+    jobs = spark.readStream.schema("id long").parquet(str(tmp_path / "jobs" / "*.parquet"))
+    status = ingest.worked(jobs, lambda job: None, str(tmp_path / "run"), flush=10)
+    assert status.count() == 25 and status.where("state = 'done'").count() == 25
+
+
+def test_no_folder_of_the_machine_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ingest.shared_folder(Session())
+    Context.master = "local[2]"
+    assert ingest.shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "/shared/"}
+    assert ingest.shared_folder(Session()).startswith("/shared/")
