@@ -94,15 +94,19 @@ def _search_sql(k: int, where: str = "true") -> str:
 sparse as (select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from sc) where rank <= {k})"""
 
 
-def _doc_weights(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents")
-    return bm25.idf(bm25.vocabulary(bm25.book_terms(docs, book="source")), bm25.book_stats(docs, book="source"))
+def _doc_index(s: SparkSession, d: str) -> bm25.Index:
+    return bm25.indexed(table(s, d, "documents"), keep=("lang",))
 
 
-def _doc_search(s: SparkSession, d: str, k: int, where: Column | None = None, asked: DataFrame | None = None) -> DataFrame:
-    docs = table(s, d, "documents")
-    asked = _asked(docs, "doc_id", "text", F.col("lang").alias("q_lang")) if asked is None else asked
-    return bm25.search(asked, docs.select("doc_id", "text", "lang"), _doc_weights(s, d), k=k, where=where)
+def _doc_search(s: SparkSession, d: str, k: int, where: Column | None = None, asked: DataFrame | None = None, index: bm25.Index | None = None) -> DataFrame:
+    """The documents asked over all documents; without ``asked`` those of the stated set, whose terms are in the index."""
+    index = index or _doc_index(s, d)
+    if asked is None:
+        sought = _asked(index.postings, "doc_id", F.col("lang").alias("q_lang"), "term", F.col("weight").alias("sought"))
+    else:
+        counts = bm25.term_counts(asked, id="qid", keep=("q_lang",)).join(index.terms.select("term", "idf"), "term")
+        sought = counts.select("qid", "q_lang", "term", (F.col("idf") * bm25.saturation(F.col("tf").cast("double"))).alias("sought"))
+    return bm25.best(sought, index, k=k, where=where)
 
 
 @query(f"with {_search_sql(5)} select qid, doc_id, score, rank from sparse")
@@ -187,7 +191,8 @@ def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_search_sql(10)}, wide as (select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from (select q.doc_id qid, p.doc_id, round(sum(q.w * p.w), 6) score from post q join post p on q.term = p.term where q.doc_id % 100 = 0 and q.lang = p.lang group by all)) where rank <= 15), u as (select *, 0 pass from sparse union all select *, 1 from wide) select qid, doc_id, pass, rank from (select *, row_number() over (partition by qid, doc_id order by pass, rank) n from u) where n = 1")
 def retry_pool(s: SparkSession, d: str) -> DataFrame:
-    first, wide = _doc_search(s, d, 10), _doc_search(s, d, 15, F.col("q_lang") == F.col("lang"))
+    index = _doc_index(s, d)
+    first, wide = _doc_search(s, d, 10, index=index), _doc_search(s, d, 15, F.col("q_lang") == F.col("lang"), index=index)
     return fusion.merged_pool([first, wide]).select("qid", "doc_id", "pass", "rank")
 
 
@@ -197,11 +202,12 @@ def retrieval_loop(s: SparkSession, d: str) -> DataFrame:
     ingest.ensure_checkpoints(s)
     docs = table(s, d, "documents").select("doc_id", "text", "lang")
     asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "text", F.col("lang").alias("q_lang"))
+    index = _doc_index(s, d)
 
     def search(some: DataFrame, how: rag.Pass) -> DataFrame:
         if how.longest_term:
             some = some.withColumn("text", text.longest(text.latin_terms(F.col("text"))))
-        return _doc_search(s, d, how.k, None if how.any_language else F.col("q_lang") == F.col("lang"), asked=some)
+        return _doc_search(s, d, how.k, None if how.any_language else F.col("q_lang") == F.col("lang"), asked=some, index=index)
 
     return rag.retrieve(asked, docs, search, gates=rag.Gates(confident=5.5, answer=0.0, retry=-4.0, passes=rag.MOST_PASSES))
 

@@ -54,6 +54,29 @@ def test_search_by_brute_force(spark):
         assert [(r.doc_id, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.qid == q] == [(i, n + 1) for n, (_, i) in enumerate(scores[:4])]
 
 
+@pytest.mark.parametrize("first", [1, 3, 50])
+def test_search_leaves_nothing_out(spark, monkeypatch, first):
+    """Bounds skip frequent terms for most records, and the result is that of all terms."""
+    monkeypatch.setattr(bm25, "FIRST", first)
+    rng = random.Random(first)
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(n)) for n in range(120)]
+    docs = [(i, " ".join(rng.choices(words, weights=[1 / (n + 1) for n in range(120)], k=rng.randint(1, 60))), "xyz"[i % 3]) for i in range(250)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    index = bm25.indexed(frame, keep=("lang",))
+    entries = [tuple(r) for r in index.postings.select("doc_id", "lang", "term", "weight").collect()]
+    vectors = {}
+    for i, _, t, w in entries:
+        vectors.setdefault(i, {})[t] = w
+    sought = index.postings.where("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"), F.col("lang").alias("q_lang"), "term", F.col("weight").alias("sought"))
+    for where, allowed in ((None, lambda q, d: True), (F.col("q_lang") == F.col("lang"), lambda q, d: docs[q][2] == docs[d][2])):
+        got = {(r.qid, r["rank"]): (r.doc_id, r.score) for r in bm25.best(sought, index, k=4, where=where).collect()}
+        wanted = {}
+        for q in range(0, 250, 10):
+            scores = sorted((-round(sum(w * vectors[d].get(t, 0) for t, w in vectors.get(q, {}).items()), 6), d) for d in vectors if set(vectors[d]) & set(vectors.get(q, {})) and allowed(q, d))
+            wanted |= {(q, n + 1): (d, -s) for n, (s, d) in enumerate(scores[:4])}
+        assert got == wanted
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(dense, "POINTS", 7)
     monkeypatch.setattr(dense, "QUERIES", 3)
@@ -354,9 +377,9 @@ def test_loop_asks_whole_texts_in_all_passes(spark, monkeypatch):
 
     calls, search, folder = [], registry._doc_search, "/root/testdata/sf0.001"
 
-    def seen(s, d, k, where=None, asked=None):
+    def seen(s, d, k, where=None, asked=None, **more):
         calls.append((k, where is None, {r.qid: r.text for r in asked.collect()}))
-        return search(s, d, k, where, asked)
+        return search(s, d, k, where, asked, **more)
 
     monkeypatch.setattr(registry, "_doc_search", seen)
     assert registry.retrieval_loop(spark, folder).count() > 0
