@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import latin_terms, tokens
@@ -40,6 +40,7 @@ FURTHER = (Pass(10, False), Pass(10, True), Pass(15, False), Pass(15, True), Pas
 
 Search = Callable[[DataFrame, Pass], DataFrame]
 Score = Callable[[DataFrame], DataFrame]
+Widen = Callable[[DataFrame], DataFrame]
 
 
 def overlap_score(pairs: DataFrame, *, query_text: str = "query_text", text: str = "text") -> DataFrame:
@@ -49,32 +50,61 @@ def overlap_score(pairs: DataFrame, *, query_text: str = "query_text", text: str
     return pairs.withColumn("score", F.round(share * 10 - 5, 6))
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, search: Search, score: Score = overlap_score, *, gates: Gates = Gates(), query: str = "qid", id: str = "doc_id", text: str = "text", final: int = 5) -> DataFrame:
+def retrieve(
+    queries: DataFrame, corpus: DataFrame, search: Search, score: Score = overlap_score, *, gates: Gates = Gates(), query: str = "qid", id: str = "doc_id", text: str = "text", final: int = 5,
+    terms: DataFrame | None = None, widen: Widen | None = None, summary: str | None = None,
+) -> DataFrame:
     """(query, id, score, rank, outcome) of up to ``final`` records a query; a query without hits has one row with nulls.
 
-    outcome: answer; empty (no hits); web (best score below ``gates.retry``); refused (below ``gates.answer``, or a Latin
-    term of the query is in none of the first three). The loop ends when every query is confident, or after
-    ``gates.passes`` further passes, five at most.
+    The first pass asks the query, the further ones every one of its ``terms`` (query, term, pos) by itself, the last
+    one the longest of them; without terms all ask the query. ``widen`` adds to the hits of a pass, (query, id), those
+    that belong to them. Hits join the pool once, by their earliest pass, term and rank. Where ``summary`` names a
+    column of the corpus, records that have it count in the judgement but aren't given.
+
+    outcome: answer; empty (no hits, or none to give); web (best score below ``gates.retry``); refused (below
+    ``gates.answer``, or the query has Latin terms of which none is in the first three). The loop ends when every query
+    is confident, or after ``gates.passes`` further passes, five at most.
     """
+    keep = [c for c in queries.columns if c not in (query, text)]
+    given = F.coalesce(F.col(summary), F.lit(False)) if summary else F.lit(False)
+    late = F.struct(F.lit(1 << 30).alias("pos"), F.lit("").alias("term"), F.lit(0).alias("rank"))
+
+    def place(pos: Column, term: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), term.alias("term"), F.col("rank").cast("int").alias("rank")).alias("place")
+
+    def gathered(active: DataFrame, how: Pass, n: int) -> DataFrame:
+        """(query, id, pass, place) of a pass."""
+        if n and terms is not None:
+            own = active.select(query, *keep).join(terms.select(query, "term", "pos"), query)
+            if how.longest_term:
+                own = first_of_each(own, [query], [F.length("term").desc(), F.col("pos"), F.col("term")])
+            hits = search(own.select(F.struct(query, "pos", "term").alias(query), *keep, F.col("term").alias(text)), how)
+            hits = hits.select(F.col(query)[query].alias(query), id, place(F.col(query)["pos"], F.col(query)["term"]))
+        else:
+            hits = search(active, how).select(query, id, place(F.lit(0), F.lit("")))
+        hits = hits.groupBy(query, id).agg(F.min("place").alias("place"))
+        if widen is not None:
+            hits = widen(hits.select(query, id)).select(query, id).distinct().join(hits, [query, id], "left").withColumn("place", F.coalesce("place", late))
+        return hits.select(query, id, F.lit(n).alias("pass"), "place")
 
     def scored(hits: DataFrame) -> DataFrame:
         sought = queries.select(query, F.col(text).alias("query_text"))
-        return score(hits.join(sought, query).join(corpus.select(id, text), id)).drop("query_text")
+        return score(hits.join(sought, query).join(corpus.select(id, text, given.alias("summary")), id)).drop("query_text")
 
-    pool = scored(search(queries, FIRST).select(query, id, F.lit(0).alias("pass"), "rank")).checkpoint()
+    pool = scored(gathered(queries, FIRST, 0)).checkpoint()
     for n, wider in enumerate(FURTHER[: min(gates.passes, MOST_PASSES)], start=1):
         best = pool.groupBy(query).agg(F.max("score").alias("best"))
         # too weak for another try, or good enough already
         active = queries.join(best.where((F.col("best") >= gates.retry) & (F.col("best") < gates.confident)).select(query), query, "left_semi")
         if active.isEmpty():
             break
-        more = search(active, wider).select(query, id, F.lit(n).alias("pass"), "rank").join(pool.select(query, id), [query, id], "left_anti")
-        pool = pool.unionByName(scored(first_of_each(more, [query, id], [F.col("rank")]))).checkpoint()
-    order = pool.withColumn("__id", F.struct("pass", "rank", id))
-    listed = ranked(order, query=query, id="__id", k=final)
-    first = listed.where("rank <= 3").groupBy(query).agg(F.lower(F.concat_ws("\n", F.collect_list(text))).alias("seen"), F.max("score").alias("best"))
-    terms = queries.select(query, latin_terms(F.col(text)).alias("latin"))
-    judged = terms.join(first, query, "left").select(
+        more = gathered(active, wider, n).join(pool.select(query, id), [query, id], "left_anti")
+        pool = pool.unionByName(scored(more)).checkpoint()
+    order = pool.withColumn("__id", F.struct("pass", "place", id))
+    seen = F.lower(F.concat_ws("\n", F.collect_list(text)))
+    first = ranked(order, query=query, id="__id", k=3).groupBy(query).agg(seen.alias("seen"), F.max("score").alias("best"))
+    listed = ranked(order.where("not summary"), query=query, id="__id", k=final)
+    judged = queries.select(query, latin_terms(F.col(text)).alias("latin")).join(first, query, "left").select(
         query,
         F.when(F.col("best").isNull(), "empty")
         .when(F.col("best") < gates.retry, "web")
@@ -83,7 +113,8 @@ def retrieve(queries: DataFrame, corpus: DataFrame, search: Search, score: Score
         .otherwise("answer")
         .alias("outcome"),
     )
-    return judged.join(listed.select(query, id, "score", "rank"), query, "left").select(query, id, "score", "rank", "outcome")
+    whole = judged.join(listed.select(query, id, "score", "rank"), query, "left")
+    return whole.select(query, id, "score", "rank", F.when((F.col("outcome") == "answer") & F.col("rank").isNull(), "empty").otherwise(F.col("outcome")).alias("outcome"))
 
 
 def rewritable(turns: DataFrame, *, conversation: str, position: str, role: str, text: str, query: str) -> DataFrame:

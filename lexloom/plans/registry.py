@@ -461,6 +461,78 @@ def dictionary_search(s: SparkSession, d: str) -> DataFrame:
     return dictionary.searched(terms, table(s, d, "illnesses"))
 
 
+# retrieval over the chunks: section titles asked, terms of the dictionary in the further passes, sections of summaries
+
+GATES = {"confident": 4.0, "answer": 0.0, "retry": -3.0}
+
+
+def _answers(s: SparkSession, d: str, passes: int) -> DataFrame:
+    """The section titles of every hundredth chunk asked over all chunks, of the same language where theirs is known."""
+    ingest.ensure_checkpoints(s)
+    chunks = table(s, d, "chunks").withColumn("code", text.language_code(F.col("language")))
+    index = bm25.indexed(chunks, _weights(s, d), id="chunk_id", keep=("code",))
+    asked = _asked(chunks.where(F.trim(F.coalesce("section_title", F.lit(""))) != ""), "chunk_id", F.col("section_title").alias("text"), F.col("code").alias("q_code"))
+    same = (F.col("q_code") == "both") | (F.col("q_code") == F.col("code"))
+
+    def search(some: DataFrame, how: rag.Pass) -> DataFrame:
+        counts = bm25.term_counts(some, id="qid", keep=("q_code",)).join(index.terms.select("term", "idf"), "term")
+        sought = counts.select("qid", "q_code", "term", (F.col("idf") * bm25.saturation(F.col("tf").cast("double"))).alias("sought"))
+        return bm25.best(sought, index, id="chunk_id", k=how.k, where=None if how.any_language else same)
+
+    terms = dictionary.expanded(asked, dictionary.names(table(s, d, "illnesses")))
+    found = rag.retrieve(asked, chunks, search, gates=rag.Gates(**GATES, passes=passes), id="chunk_id", terms=terms, widen=lambda hits: fusion.with_sections(hits, chunks), summary="is_summary")
+    return found.select("qid", F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), F.coalesce("score", F.lit(-9.0)).alias("score"), F.coalesce("rank", F.lit(0)).alias("rank"), "outcome")
+
+
+def _answers_sql(passes: int) -> str:
+    code = "case when lower(trim(language)) in ('en', 'english') then 'en' when lower(trim(language)) in ('bg', 'bulgarian') then 'bg' else 'both' end"
+
+    def gather(n: int, k: int) -> str:
+        """p{n}: (qid, chunk_id, pass, pos, tt, rank) of the terms in t{n} (qid, q_code, pos, tt)."""
+        return f"""w{n} as (select qid, q_code, pos, tt, term, idf * count(*) * 2.5 / (count(*) + 1.5) w from (select qid, q_code, pos, tt, unnest({_TERMS.format('tt')}) term from t{n}) join idf using (term) where length(term) > 1 group by qid, q_code, pos, tt, term, idf),
+s{n} as (select qid, pos, tt, p.chunk_id, round(sum(w{n}.w * p.w), 6) score from w{n} join post p on w{n}.term = p.term where q_code = 'both' or q_code = code group by all),
+h{n} as (select qid, chunk_id, pos, tt, rank from (select *, row_number() over (partition by qid, pos, tt order by score desc, chunk_id) rank from s{n}) where rank <= {k}),
+g{n} as (select distinct qid, book_id, chapter_title, section_title from h{n} join chunks using (chunk_id) where is_summary and coalesce(section_title, '') <> ''),
+u{n} as (select qid, chunk_id, pos, tt, rank from h{n} union all select qid, chunk_id, 1 << 30, '', 0 from g{n} join numbered using (book_id, chapter_title, section_title) where n <= 50),
+p{n} as (select qid, chunk_id, {n} pass, pos, tt, rank from (select *, row_number() over (partition by qid, chunk_id order by pos, tt, rank) m from u{n}) where m = 1)"""
+
+    score = f"""round(len(list_filter(list_distinct({_TERMS.format('qt')}), lambda x: list_contains({_TERMS.format('c.text')}, x))) / greatest(len(list_distinct({_TERMS.format('qt')})), 1) * 10 - 5, 6)"""
+    scored = "select p.qid, p.chunk_id, pass, pos, tt, rank, {0} score, coalesce(c.is_summary, false) summary, c.text from {1} p join q on p.qid = q.qid join chunks c on c.chunk_id = p.chunk_id"
+    own = r"select qid, q_code, 0 pos, qt term from q union all select qid, q_code, unnest(range(1, len(k) + 1)) pos, unnest(k) term from (select *, list_filter(regexp_split_to_array(qt, '[ ,.?!()-]+'), lambda x: length(x) > 3 and not list_contains(" + _STOP + ", lower(x))) k from q)"
+    first = f"""with {_IDF}, cl as (select *, {code} code from chunks), {_NAMES},
+post as (select chunk_id, code, term, idf * count(*) * 2.5 / (count(*) + 1.5) w from (select chunk_id, code, unnest({_TERMS.format('text')}) term from cl) join idf using (term) where length(term) > 1 group by chunk_id, code, term, idf),
+numbered as (select chunk_id, book_id, chapter_title, section_title, row_number() over (partition by book_id, chapter_title, section_title order by chunk_index, chunk_id) n from body),
+q as (select chunk_id qid, section_title qt, code q_code from cl where chunk_id % 100 = 0 and trim(coalesce(section_title, '')) <> ''),
+t0 as (select qid, q_code, 0 pos, qt tt from q), {gather(0, 5)}, pool0 as ({scored.format(score, 'p0')})"""
+    again = f""", own as ({own}), hit as (select distinct qid, q_code, code from own join kept on lower(own.term) = low), every as (select qid, q_code, pos, term from own union all select qid, q_code, 1 << 20, nm from hit join kept using (code)),
+act as (select qid from pool0 group by qid having max(score) >= {GATES['retry']} and max(score) < {GATES['confident']}),
+t1 as (select qid, q_code, f.pos pos, f.term tt from (select qid, q_code, min(struct_pack(pos := pos, term := term)) f from every where qid in (select qid from act) group by qid, q_code, lower(term))), {gather(1, 10)},
+n1 as (select * from p1 anti join p0 using (qid, chunk_id)), pool1 as ({scored.format(score, 'n1')}), pool as (from pool0 union all from pool1)"""
+    place = "score desc, pass, pos, tt, rank, chunk_id"
+    return first + (again if passes else ", pool as (from pool0)") + rf""",
+top as (select qid, lower(string_agg(text, chr(10))) seen, max(score) best from (select *, row_number() over (partition by qid order by {place}) r from pool) where r <= 3 group by qid),
+l as (select * from (select *, row_number() over (partition by qid order by {place}) r from pool where not summary) where r <= 5),
+lat as (select qid, list_filter(regexp_split_to_array(lower(qt), '[ ,.!?():;	
+/-]'), lambda x: regexp_matches(x, '^[a-z]{{5,}}$')) ws from q),
+j as (select qid, case when best is null then 'empty' when best < {GATES['retry']} then 'web' when best < {GATES['answer']} then 'refused' when len(ws) > 0 and len(list_filter(ws, lambda x: contains(seen, x))) = 0 then 'refused' else 'answer' end o from lat left join top using (qid))
+select j.qid, coalesce(l.chunk_id, -1) chunk_id, coalesce(l.score, -9.0)::double score, coalesce(r, 0)::int rank, case when o = 'answer' and r is null then 'empty' else o end outcome from j left join l on j.qid = l.qid"""
+
+
+@query(_answers_sql(0))
+def answers_first_pass(s: SparkSession, d: str) -> DataFrame:
+    return _answers(s, d, 0)
+
+
+@query(_answers_sql(1))
+def answers_second_pass(s: SparkSession, d: str) -> DataFrame:
+    return _answers(s, d, 1)
+
+
+@query()
+def answers_all_passes(s: SparkSession, d: str) -> DataFrame:
+    return _answers(s, d, rag.MOST_PASSES)
+
+
 # tables and their changes
 
 

@@ -457,3 +457,27 @@ def test_no_folder_of_the_machine_on_a_cluster():
     assert ingest.shared_folder(Session())
     Session.conf = {"spark.checkpoint.dir": "/shared/"}
     assert ingest.shared_folder(Session()).startswith("/shared/")
+
+
+def test_loop_with_terms_sections_and_summaries(spark):
+    chunks = spark.createDataFrame(
+        [(1, "b", "c", "s", 0, True, "summary of fever"), (2, "b", "c", "s", 1, False, "fever in adults"), (3, "b", "c", "s", 2, False, "nothing here"), (4, "b", "c", "t", 3, False, "cough"), (5, "b", "c", None, 4, True, "whole summary")],
+        "chunk_id long, book_id string, chapter_title string, section_title string, chunk_index int, is_summary boolean, text string",
+    )
+    asked = spark.createDataFrame([(7, "fever", "x"), (8, "whole", "x")], "qid long, text string, other string")
+    terms = spark.createDataFrame([(7, "fever", 0), (7, "pyrexia", 1), (7, "cough now", 1 << 20), (8, "whole", 0)], "qid long, term string, pos int")
+    calls = []
+
+    def search(some, how):
+        rows = [(r.qid, r.text, r.other) for r in some.collect()]
+        calls.append((how.k, sorted(t for _, t, _ in rows)))
+        hits = {"fever": [1], "pyrexia": [1, 2], "cough now": [4], "whole": [5]}
+        found = [(q, c, n + 1) for q, t, _ in rows for n, c in enumerate(hits[t])]
+        return spark.createDataFrame(found, f"qid {some.schema['qid'].dataType.simpleString()}, chunk_id long, rank int")
+
+    flat = lambda pairs: pairs.withColumn("score", F.lit(1.0))
+    got = rag.retrieve(asked, chunks, search, flat, gates=rag.Gates(confident=2, answer=0, retry=0, passes=5), id="chunk_id", terms=terms, widen=lambda h: fusion.with_sections(h, chunks), summary="is_summary").collect()
+    # the first pass asks the queries, four more every term, the last one the longest; a term's hits stand in its order
+    assert calls == [(5, ["fever", "whole"])] + [(k, ["cough now", "fever", "pyrexia", "whole"]) for k in (10, 10, 15, 15)] + [(20, ["cough now", "whole"])]
+    # of the section of the summary all chunks came in with the first pass, the summaries themselves aren't given
+    assert [(r.qid, r.chunk_id, r["rank"], r.outcome) for r in sorted(got, key=lambda r: (r.qid, r["rank"] or 0))] == [(7, 2, 1, "answer"), (7, 3, 2, "answer"), (7, 4, 3, "answer"), (8, None, None, "empty")]
