@@ -14,6 +14,7 @@ STOPWORDS = (
     "на е и с в от до се за при са ли да не то ще или но само те тя си болест заболяване симптом признак "
     "the a an of and or is are was what which how"
 ).split()
+# fixed values: what separates keywords, and words of Latin letters
 WORD_SEPARATORS = "[ ,.?!()-]+"
 LATIN_SEPARATORS = r"[ ,.!?():;\t\n/-]"
 
@@ -37,6 +38,9 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
 
 
+# fixed values: the patterns of images, soft hyphens, broken words and specks, here and in the functions below
+
+
 def without_data_images(text: Column) -> Column:
     return F.regexp_replace(text, r"!\[[^\]]*\]\(data:[^)]+\)", "")
 
@@ -70,6 +74,9 @@ def clean_markdown(text: Column) -> Column:
     return without_specks(single_spaces(joined_hyphens(without_soft_hyphens(out))))
 
 
+# fixed values: the patterns of headings, titles of an outline and reference marks, here and in the functions below
+
+
 def heading_level(line: Column) -> Column:
     """1 to 6 of a markdown heading, else 0."""
     return F.length(F.regexp_extract(line, r"(?dU)^(#{1,6})\s+(.+)", 1))

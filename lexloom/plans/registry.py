@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import ids, text, vectors, web
 from lexloom.operators import bm25, chunker, dense, dictionary, embed, fusion, order, rag, store
+from lexloom.plans import index
 from lexloom.sources.tables import table, table_rows
 from lexloom.streaming import ingest
 
@@ -78,6 +79,15 @@ def bm25_idf(s: SparkSession, d: str) -> DataFrame:
     return _weights(s, d).select("term", "document_frequency", F.round("idf", 6).alias("idf"))
 
 
+@query("""with last as (select book_id, max(struct_pack(a := updated_at, c := chunk_count)).c c from bm25_book_stats where book_id is not null group by book_id), n as (select sum(c)::double n from last)
+select term, document_frequency, round(ln(1 + (n - document_frequency + 0.5) / (document_frequency + 0.5)), 6) idf from bm25_vocab, n where document_frequency >= 2 and term is not null and document_frequency <= n""")
+def bm25_stored_idf(s: SparkSession, d: str) -> DataFrame:
+    """The weights of the stored vocabulary, of terms in two chunks or more and no more than there are."""
+    last = store.latest(table(s, d, "bm25_book_stats").where("book_id is not null"), ["book_id"], [F.col("updated_at").desc(), F.col("chunk_count").desc()])
+    vocab = table(s, d, "bm25_vocab").where(F.col("term").isNotNull()).withColumn("n", F.coalesce(last.agg(F.sum("chunk_count")).scalar(), F.lit(0)))
+    return bm25.idf(vocab.where("document_frequency <= n"), last).select("term", "document_frequency", F.round("idf", 6).alias("idf"))
+
+
 @query(f"with {_IDF}, u as (select chunk_id, unnest({_TERMS.format('text')}) term from body), tf as (select chunk_id, term, count(*) tf from u group by all) select chunk_id, term, round(idf * tf * 2.5 / (tf + 1.5), 5) weight from tf join idf using (term)")
 def bm25_passage_vectors(s: SparkSession, d: str) -> DataFrame:
     return bm25.postings(_body(s, d), _weights(s, d), id="chunk_id").select("chunk_id", "term", F.round("weight", 5).alias("weight"))
@@ -166,12 +176,34 @@ def dense_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return dense.top_k(_asked(e, "vec_id", "embedding", "label"), e, label="label", k=5)
 
 
-@query()
+@query(f"with {_dense_sql(5)} select qid, vec_id, score, rank from dense")
 def dense_quantized_topk(s: SparkSession, d: str) -> DataFrame:
+    """By codes of one byte, twice as many candidates ranked again by their vectors."""
     e = table(s, d, "embeddings")
     return dense.rescored_top_k(_asked(e, "vec_id", "embedding"), e, k=5)
 
 
+@query()
+def dense_indexed_topk(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return dense.indexed_top_k(_asked(e, "vec_id", "embedding"), e, dense.centres(e, CELLS), k=10, probes=PROBES)
+
+
+#: cells of the index over the vectors, and how many of them a query looks into: many, as the given ones lie in no clusters
+CELLS, PROBES = 32, 24
+
+
+@query("select m.method, count(*) * 10 wanted, true enough from embeddings, (values ('cells'), ('codes')) m(method) where vec_id % 100 = 0 group by m.method")
+def dense_recall(s: SparkSession, d: str) -> DataFrame:
+    """Whether the index and the codes find nine tenths or more of the ten nearest neighbours."""
+    e = table(s, d, "embeddings")
+    asked = _asked(e, "vec_id", "embedding")
+    exact = dense.top_k(asked, e, k=10)
+    ways = {"cells": dense.indexed_top_k(asked, e, dense.centres(e, CELLS), k=10, probes=PROBES), "codes": dense.rescored_top_k(asked, e, k=10)}
+    rows = [dense.recall(exact, found).select(F.lit(name).alias("method"), "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough")) for name, found in ways.items()]
+    return rows[0].unionByName(rows[1])
+
+
 @query()
 def embedded_topk(s: SparkSession, d: str) -> DataFrame:
     """Nearest documents by vectors that are made of their words, of one's own language."""
@@ -183,16 +215,17 @@ def embedded_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_search_sql(15)}, {_dense_sql(15)}, h as (select qid, doc_id, rank from sparse union all select qid, vec_id, rank from dense), f as (select qid, doc_id, round(sum(1.0::double / (60 + rank)), 9) score from h group by all) select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from f) where rank <= 5")
 def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
-    """Keyword and vector hits, three times as many as asked for, fused by rank; vec_id is the doc_id."""
+    """Keyword hits and vector hits by codes, three times as many as asked for, fused by rank; vec_id is the doc_id. Of a
+    query without known terms only the vector hits are there."""
     e = table(s, d, "embeddings")
-    near = dense.top_k(_asked(e, "vec_id", "embedding"), e, k=15).withColumnRenamed("vec_id", "doc_id")
+    near = dense.rescored_top_k(_asked(e, "vec_id", "embedding"), e, k=15).withColumnRenamed("vec_id", "doc_id")
     return fusion.rrf([_doc_search(s, d, 15), near], k=5)
 
 
 @query(f"with {_search_sql(10)}, wide as (select * from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from (select q.doc_id qid, p.doc_id, round(sum(q.w * p.w), 6) score from post q join post p on q.term = p.term where q.doc_id % 100 = 0 and q.lang = p.lang group by all)) where rank <= 15), u as (select *, 0 pass from sparse union all select *, 1 from wide) select qid, doc_id, pass, rank from (select *, row_number() over (partition by qid, doc_id order by pass, rank) n from u) where n = 1")
 def retry_pool(s: SparkSession, d: str) -> DataFrame:
-    index = _doc_index(s, d)
-    first, wide = _doc_search(s, d, 10, index=index), _doc_search(s, d, 15, F.col("q_lang") == F.col("lang"), index=index)
+    made = _doc_index(s, d)
+    first, wide = _doc_search(s, d, 10, index=made), _doc_search(s, d, 15, F.col("q_lang") == F.col("lang"), index=made)
     return fusion.merged_pool([first, wide]).select("qid", "doc_id", "pass", "rank")
 
 
@@ -202,12 +235,12 @@ def retrieval_loop(s: SparkSession, d: str) -> DataFrame:
     ingest.ensure_checkpoints(s)
     docs = table(s, d, "documents").select("doc_id", "text", "lang")
     asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "text", F.col("lang").alias("q_lang"))
-    index = _doc_index(s, d)
+    made = _doc_index(s, d)
 
     def search(some: DataFrame, how: rag.Pass) -> DataFrame:
         if how.longest_term:
             some = some.withColumn("text", text.longest(text.latin_terms(F.col("text"))))
-        return _doc_search(s, d, how.k, None if how.any_language else F.col("q_lang") == F.col("lang"), asked=some, index=index)
+        return _doc_search(s, d, how.k, None if how.any_language else F.col("q_lang") == F.col("lang"), asked=some, index=made)
 
     return rag.retrieve(asked, docs, search, gates=rag.Gates(confident=5.5, answer=0.0, retry=-4.0, passes=rag.MOST_PASSES))
 
@@ -260,7 +293,7 @@ def chunk_clean_whole(s: SparkSession, d: str) -> DataFrame:
 _HEADING = "'^(#{1,6})" + _SPACE + "+(.+)'"
 
 
-@query(rf"""with l as (select doc_id, unnest(string_split(t, chr(10))) line, unnest(range(len(string_split(t, chr(10))))) pos from (select doc_id, {_clean('text')} t from documents where text is not null)),
+_CHUNKED = rf"""with l as (select doc_id, unnest(string_split(t, chr(10))) line, unnest(range(len(string_split(t, chr(10))))) pos from (select doc_id, {_clean('text')} t from documents where text is not null)),
 v as (select *, length(regexp_extract(line, {_HEADING}, 1)) lv from l), sec as (select *, sum((lv > 0)::int) over (partition by doc_id order by pos) section from v),
 hd as (select doc_id, list(struct_pack(lv := lv, title := {_strip(f"regexp_extract(line, {_HEADING}, 2)")}) order by section) hs from sec where lv > 0 group by doc_id),
 paths as (select doc_id, list_reduce(hs, lambda a, h: {{'stack': list_append(list_slice(a.stack, 1, least(len(a.stack), h.lv - 1)), h.title), 'path': list_append(a.path, array_to_string(list_append(list_slice(a.stack, 1, least(len(a.stack), h.lv - 1)), h.title), ' > '))}}, {{'stack': []::varchar[], 'path': []::varchar[]}}).path ps from hd),
@@ -273,8 +306,11 @@ ov as (select doc_id, section, part, path, type, case when lag(path) over w = pa
 whole as (select doc_id, list(struct_pack(path := path, text := t, type := type) order by section, part) c from ov group by doc_id),
 jn as (select doc_id, list_reduce(c, lambda a, x: case when a.now is null then {{'done': a.done, 'now': x}} when length(a.now.text) // 4 < 50 and a.now.path = x.path then {{'done': a.done, 'now': {{'path': a.now.path, 'text': a.now.text || chr(10) || x.text, 'type': a.now.type}}}} else {{'done': list_append(a.done, a.now), 'now': x}} end,
   {{'done': []::struct(path varchar, text varchar, type varchar)[], 'now': null::struct(path varchar, text varchar, type varchar)}}) r from whole),
-fin as (select doc_id, list_append(r.done, r.now) c from jn)
-select doc_id, chunk_index, m.path path, m.type type, m.text as text from (select doc_id, unnest(c) m, unnest(range(len(c)))::int chunk_index from fin)""")
+fin as (select doc_id, list_append(r.done, r.now) c from jn),
+mc as (select doc_id, chunk_index, m.path path, m.type type, m.text as text from (select doc_id, unnest(c) m, unnest(range(len(c)))::int chunk_index from fin))"""
+
+
+@query(f"{_CHUNKED} select * from mc")
 def markdown_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunker.markdown_chunks(table(s, d, "documents").select("doc_id", "text"))
 
@@ -292,6 +328,22 @@ def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
     return chunker.overlapped(rows, id="book_id", position="chunk_index", then=["chunk_id"]).select("chunk_id", "text")
 
 
+@query(f"""{_CHUNKED}, named as (select doc_id, path, min(chunk_index) i from mc where trim(path) <> '' group by doc_id, path),
+every as (select doc_id, chunk_index, text, false summary from mc union all select n.doc_id, null, n.path || chr(10) || chr(10) || substr(m.text, 1, 800), true from named n join mc m on m.doc_id = n.doc_id and m.chunk_index = n.i),
+tw as (select doc_id, chunk_index, list_distinct(list_filter({_TERMS.format('text')}, lambda x: length(x) > 1)) ws, summary from every), df as (select term, count(*) df from (select unnest(ws) term from tw where not summary) group by term),
+en as (select doc_id, count(*) entries from (select doc_id, unnest(ws) term from tw) join df using (term) where df >= 2 group by doc_id)
+select doc_id::varchar book_id, count(*) filter (not summary) chunks, count(*) filter (summary) summaries, coalesce(any_value(entries), 0)::bigint entries from every left join en using (doc_id) group by doc_id""")
+def index_written(s: SparkSession, d: str) -> DataFrame:
+    """The documents indexed as books, the index written by book and read again: what each book has in it."""
+    ingest.ensure_checkpoints(s)
+    folder = ingest.shared_folder(s)
+    index.write(index.index(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("book_id"), "text"), table(s, d, "illnesses")), folder)
+    chunks, postings = s.read.parquet(f"{folder}/chunks"), s.read.parquet(f"{folder}/postings")
+    entries = postings.groupBy("book_id").agg(F.count("*").alias("entries"))
+    counts = chunks.groupBy("book_id").agg(F.count(F.when(~F.col("is_summary"), 1)).alias("chunks"), F.count(F.when(F.col("is_summary"), 1)).alias("summaries"))
+    return counts.join(entries, "book_id", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+
+
 _PATH = "case when coalesce(section_title, '') = '' then chapter_title else chapter_title || ' > ' || section_title end"
 
 
@@ -470,14 +522,14 @@ def _answers(s: SparkSession, d: str, passes: int) -> DataFrame:
     """The section titles of every hundredth chunk asked over all chunks, of the same language where theirs is known."""
     ingest.ensure_checkpoints(s)
     chunks = table(s, d, "chunks").withColumn("code", text.language_code(F.col("language")))
-    index = bm25.indexed(chunks, _weights(s, d), id="chunk_id", keep=("code",))
+    made = bm25.indexed(chunks, _weights(s, d), id="chunk_id", keep=("code",))
     asked = _asked(chunks.where(F.trim(F.coalesce("section_title", F.lit(""))) != ""), "chunk_id", F.col("section_title").alias("text"), F.col("code").alias("q_code"))
     same = (F.col("q_code") == "both") | (F.col("q_code") == F.col("code"))
 
     def search(some: DataFrame, how: rag.Pass) -> DataFrame:
-        counts = bm25.term_counts(some, id="qid", keep=("q_code",)).join(index.terms.select("term", "idf"), "term")
+        counts = bm25.term_counts(some, id="qid", keep=("q_code",)).join(made.terms.select("term", "idf"), "term")
         sought = counts.select("qid", "q_code", "term", (F.col("idf") * bm25.saturation(F.col("tf").cast("double"))).alias("sought"))
-        return bm25.best(sought, index, id="chunk_id", k=how.k, where=None if how.any_language else same)
+        return bm25.best(sought, made, id="chunk_id", k=how.k, where=None if how.any_language else same)
 
     terms = dictionary.expanded(asked, dictionary.names(table(s, d, "illnesses")))
     found = rag.retrieve(asked, chunks, search, gates=rag.Gates(**GATES, passes=passes), id="chunk_id", terms=terms, widen=lambda hits: fusion.with_sections(hits, chunks), summary="is_summary")

@@ -97,6 +97,28 @@ def test_nearest(spark, monkeypatch):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_cells(spark, monkeypatch):
+    """In clusters a few cells suffice, all cells give the exact neighbours, and cells of any size are split."""
+    monkeypatch.setattr(dense, "POINTS", 16)
+    monkeypatch.setattr(dense, "QUERIES", 3)
+    draw = np.random.default_rng(5)
+    middle = draw.normal(size=(8, 16))
+    at = [*([0] * 150), *draw.integers(1, 8, 150)]  # half of all points in one cluster
+    vectors = [(int(n), [float(x) for x in middle[c] + 0.3 * draw.normal(size=16)], "ab"[n % 2]) for n, c in enumerate(at)] + [(900, [0.0] * 16, "a"), (901, None, "a")]
+    points = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label string").withColumn("cell", F.lit("x"))
+    asked = points.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
+    found = dense.centres(points, 8)
+    for label in (None, "label"):
+        exact = dense.top_k(asked, points, label=label, k=5)
+        every = dense.indexed_top_k(asked, points, found, label=label, k=5, probes=8)
+        assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+        row = dense.recall(exact, dense.indexed_top_k(asked, points, found, label=label, k=5, probes=3)).first()
+        assert row.found >= 0.9 * row.wanted > 0
+    nothing = points.limit(0)
+    assert dense.indexed_top_k(asked, nothing, found).count() == 0 and dense.indexed_top_k(asked.limit(0), points, found).count() == 0
+    assert dense.centres(nothing, 8).size == 0
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "qid int, doc_id int, rank int")
     b = spark.createDataFrame([(1, 11, 1), (2, 5, 1)], "qid int, doc_id int, rank int")
@@ -481,3 +503,31 @@ def test_loop_with_terms_sections_and_summaries(spark):
     assert calls == [(5, ["fever", "whole"])] + [(k, ["cough now", "fever", "pyrexia", "whole"]) for k in (10, 10, 15, 15)] + [(20, ["cough now", "whole"])]
     # of the section of the summary all chunks came in with the first pass, the summaries themselves aren't given
     assert [(r.qid, r.chunk_id, r["rank"], r.outcome) for r in sorted(got, key=lambda r: (r.qid, r["rank"] or 0))] == [(7, 2, 1, "answer"), (7, 3, 2, "answer"), (7, 4, 3, "answer"), (8, None, None, "empty")]
+
+
+def test_sources_of_the_web(spark):
+    from lexloom.functions import web
+
+    results = spark.createDataFrame([(1, 0, "A", ""), (1, 1, "B", "u1"), (1, 2, "C", "u2"), (1, 3, "D", "u3"), (1, 4, "E", "u4"), (2, 0, "F", None)], "q int, pos int, title string, url string")
+    pages = spark.createDataFrame([("u1", "<p>one</p>"), ("u2", " "), ("u3", "three"), ("u4", "four"), ("u3", "three")], "url string, text string")
+    got = [tuple(r) for r in tables.read_sources(results, pages, key="q").orderBy("pos").collect()]
+    assert got == [(1, 0, "B", "u1", "one"), (1, 2, "D", "u3", "three")]
+    asked = spark.createDataFrame([("fever & rash", "BG"), ("x", "fr")], "q string, l string")
+    said = [r.u for r in asked.select(tables.web_query(F.col("q"), ["a.org", "b.org"], F.col("l")).alias("u")).collect()]
+    assert said == ["/search?q=fever%20%26%20rash%20site%3Aa.org%20OR%20site%3Ab.org&format=json&categories=general&language=bg", "/search?q=x%20site%3Aa.org%20OR%20site%3Ab.org&format=json&categories=general&language=all"]
+    assert web.escaped is tables.escaped
+
+
+def test_markdown_of_books(spark):
+    pdfs = spark.createDataFrame([("/p/a.pdf",), ("/p/b.pdf",), ("/p/c.pdf",)], "path string")
+    cached = spark.createDataFrame([("/m/a.md", "cached a"), ("/m/z.md", "other")], "path string, markdown string")
+    made = spark.createDataFrame([("a", "new a"), ("b", "new b")], "slug string, markdown string")
+    assert {tuple(r) for r in tables.markdown_of_books(pdfs, cached, made).collect()} == {("a", "cached a", True), ("b", "new b", False), ("c", None, None)}
+
+
+def test_query_without_terms_in_fusion(spark):
+    """Without keyword hits the order is that of the vectors."""
+    sparse = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "qid int, doc_id int, rank int")
+    near = spark.createDataFrame([(1, 11, 1), (2, 30, 1), (2, 29, 2), (2, 28, 3)], "qid int, doc_id int, rank int")
+    got = [(r.qid, r.doc_id) for r in fusion.rrf([sparse, near]).orderBy("qid", "rank").collect()]
+    assert got == [(1, 11), (1, 10), (2, 30), (2, 29), (2, 28)]
