@@ -122,13 +122,14 @@ def select_mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", sourc
         F.xxhash64(F.lit(seed), "mix", "id").alias("order"), F.greatest(F.lit(1), F.ceil(F.col("docs") / block)).cast("long").alias("blocks"),
     )
     schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks are small but much work
     done = rows.where("chance <= 0")
     rows = rows.where("chance > 0")
     for n in range(ROUNDS):
         last = n == ROUNDS - 1
         # a round leaves two of a block; blocks of the next round hold about as many units as those of the first
         blocks = F.lit(1).cast("long") if last else F.greatest(F.lit(1), F.ceil(F.col("blocks") / F.lit((block // 2) ** n))).cast("long")
-        rows = rows.withColumn("part", F.pmod("order", blocks)).groupBy("mix", "source", "part").applyInPandas(_decide(last, seed), f"{schema}, part long").drop("part")
+        rows = rows.withColumn("part", F.pmod("order", blocks)).repartition(tasks, "mix", "source", "part").groupBy("mix", "source", "part").applyInPandas(_decide(last, seed), f"{schema}, part long").drop("part")
         if not last:
             rows = rows.checkpoint()  # it is read twice, and drawn
             done = done.unionByName(rows.where("chance <= 0 or chance >= 1"))
@@ -138,7 +139,9 @@ def select_mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", sourc
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", keep_shares: bool = False, seed: int = 1) -> DataFrame:
-    """One row per mix and source: what was aimed at and the share that was reached."""
+    """One row per mix and source: what was aimed at and what was reached, as a share of all that the mix reached
+    (reached_share) and of the size that it was to have (share_of_size), and whether the source is used up to its cap
+    (at_cap). Where sources at their cap fall short, the others' reached_share rises but not their share_of_size."""
     sized = sized_documents(docs, id=id, source=source, text=text)
     sizes = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("has"))
     chosen = select_mix(docs, targets, id=id, source=source, text=text, keep_shares=keep_shares, seed=seed, sized=sized)
@@ -146,7 +149,8 @@ def mix_report(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", sourc
     whole = reached.groupBy("mix").agg(F.sum("reached").alias("of_mix"))
     zero = F.coalesce(F.col("reached"), F.lit(0))
     return plan(sizes, targets, keep_shares=keep_shares).join(reached, ["mix", "source"], "left").join(whole, "mix", "left").select(
-        "mix", "source", "target_share", F.round("aim").cast("long").alias("aimed_tokens"), zero.alias("reached_tokens"),
+        "mix", "source", "target_share", F.coalesce(F.try_divide(zero, F.try_divide("aim", "target_share")), F.lit(0.0)).alias("share_of_size"),
+        ((F.col("has") > 0) & (F.col("rate") >= F.col("max_repeats"))).alias("at_cap"), F.round("aim").cast("long").alias("aimed_tokens"), zero.alias("reached_tokens"),
         F.coalesce(zero / F.col("of_mix"), F.lit(0.0)).alias("reached_share"), F.coalesce("used_docs", F.lit(0)).alias("used_docs"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", F.col("rate").alias("mean_uses"),
     )

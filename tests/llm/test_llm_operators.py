@@ -274,6 +274,8 @@ def test_mix(spark):
     report = {r.source: r for r in mixing.mix_report(docs, targets).collect()}
     assert report["small"].most_copies == 3 and report["small"].reached_tokens < report["small"].aimed_tokens
     assert report["none"].reached_tokens == 0 and len(report) == 4
+    assert {s: r.at_cap for s, r in report.items()} == {"big": False, "mid": False, "small": True, "none": False}
+    assert abs(report["big"].share_of_size - 0.5) < 0.01 and report["big"].reached_share > 0.5 and abs(report["mid"].share_of_size - 0.3) < 0.01
     kept = {r.source: r.reached_share for r in mixing.mix_report(docs, targets, keep_shares=True).collect()}
     assert all(abs(kept[s] - w / 0.95) < 0.01 for s, w in (("big", 0.5), ("mid", 0.3), ("small", 0.15)))
 
