@@ -91,3 +91,28 @@ def test_addresses(spark):
 def test_vectors(spark):
     r = spark.sql("select array(3f, 4f) a, array(0f, 0f) z").select(vectors.cosine(F.col("a"), F.col("a")).alias("one"), vectors.cosine(F.col("a"), F.col("z")).alias("none"), vectors.normalized(F.col("a")).alias("u"), vectors.normalized(F.col("z")).alias("same")).first()
     assert (round(r.one, 9), r.none, r.u, r.same) == (1.0, 0.0, [0.6, 0.8], [0.0, 0.0])
+
+
+def test_addresses_by_brute_force(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(1)
+    given = ["::", "::1", "1::", "1::2:3", ":::", "1:::2", ":1", "1:", "::ffff:10.0.0.1", "::FFFF:8.8.8.8", "::10.0.0.1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "fe80::1%eth0", "fd00::", "febf::", "fec0::", "12345::", "g::", "1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", "", " 10.0.0.1 ", "1:2:3:4:5:6:1.2.3.4", "1::1.2.3.4", "::1::", "a b", "2001:db8::ff00:42:8329"]
+    nets = [ipaddress.ip_network(n) for n in web.BLOCKED]
+    for n in nets:
+        for edge in (int(n.network_address), int(n.broadcast_address)):
+            given += [str(type(n.network_address)(v)) for v in (edge - 1, edge, edge + 1) if 0 <= v < 1 << n.max_prefixlen]
+    given += [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(200)] + [str(ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice([0, 30, 90, 120]))) for _ in range(200)]
+
+    def blocked(text):
+        try:
+            ip = ipaddress.ip_address(text.strip())
+        except ValueError:
+            return True
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return any(ip.version == n.version and ip in n for n in nets)
+
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", web.is_blocked_address("t").alias("b")).collect()
+    assert [(r.t, r.b) for r in rows if r.b != blocked(r.t)] == []
+    assert spark.range(1).select(web.is_blocked_address(F.lit(None).cast("string")).alias("b")).first().b is True
