@@ -8,7 +8,9 @@ an empty result; columns other than the three named ones are ignored, whatever t
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +33,28 @@ def fold_terms(terms: pd.Series) -> pd.Series:
     return folded.iloc[codes].reset_index(drop=True)
 
 
+def _folded_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(record, raw, n, term) of each batch, rows that are alike once."""
+    for rows in batches:
+        rows = rows.drop_duplicates(ignore_index=True)
+        codes, distinct = pd.factorize(rows["raw"])
+        rows["term"] = np.array([fold_term(t) for t in distinct] + [""], dtype=object)[codes]
+        yield rows[rows["term"] != ""]
+
+
 def term_frequencies(counts: DataFrame, *, record: str = "book_id", term: str = "term", count: str = "document_frequency") -> DataFrame:
     """(term, occurrences, records) of each folded term over all (record, term, count) rows.
 
-    The first aggregation drops repeated rows, the second sums the spellings of a term in a record, the
-    third sums over records. Each one combines by hash inside the map tasks, so a term that holds a third
-    of all rows reaches its reducer as one row per map task.
+    Rows that are alike are dropped in each batch of a map task, so that a row repeated without end shuffles little.
+    One shuffle by term and record drops the rest of them and sums the spellings of a term in a record; the sum over
+    records combines by hash inside the tasks again, so a term that holds a third of all rows reaches its reducer as
+    one row per task.
     """
+    kind = dict(counts.dtypes)[record]
     rows = counts.select(F.col(record).alias("record"), F.col(term).alias("raw"), F.col(count).cast("long").alias("n"))
-    rows = rows.where("record is not null and raw is not null and n >= 1").groupBy("record", "raw", "n").agg(F.lit(1).alias("one"))
-    folded = rows.select("record", "n", fold_terms("raw").alias("term")).where("term != ''")
-    return folded.groupBy("term", "record").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("records"))
+    rows = rows.where("record is not null and raw is not null and n >= 1").mapInPandas(_folded_batches, f"record {kind}, raw string, n long, term string")
+    distinct = rows.repartition("term", "record").dropDuplicates(["record", "term", "raw", "n"])
+    return distinct.groupBy("term", "record").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("records"))
 
 
 def collection_size(stats: DataFrame, *, record: str = "book_id", size: str = "chunk_count", at: str = "updated_at") -> DataFrame:
