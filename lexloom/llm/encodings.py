@@ -31,6 +31,8 @@ BUCKETS = 1 << 14
 LEAST = 5.0
 MARGIN = 5.0
 KEPT = 60_000
+#: bigrams that are looked up at once
+MANY = 1 << 16
 LOSSY = ("lost>?", "lost>�")
 
 # fixed values: the encodings that are told apart
@@ -241,6 +243,14 @@ class Model:
         by_bigrams = np.add.reduceat(self.logs[pairs, :CLEAN], starts, axis=0).max(axis=1)
         return sum(max(a, self.words.get(plain(w), -math.inf)) for a, w in zip(by_bigrams.tolist(), told))
 
+    def sums(self, words_: list[str]) -> np.ndarray:
+        """The log probability of each word in each class; long words are summed in pieces."""
+        pairs, starts = bigrams(words_)
+        if len(pairs) <= MANY:
+            return np.add.reduceat(self.logs[pairs], starts, axis=0)
+        ends = [*starts[1:], len(pairs)]
+        return np.stack([np.sum([self.logs[pairs[i : min(i + MANY, b)]].sum(axis=0) for i in range(a, b, MANY)], axis=0) for a, b in zip(starts, ends)])
+
     def learn(self, new: list[str]) -> None:
         """Adds the scores of new words."""
         need = len(self.known) + len(new)
@@ -248,8 +258,7 @@ class Model:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         for a in range(0, len(new), 2000):
             part = new[a : a + 2000]
-            pairs, starts = bigrams(part)
-            sums = np.add.reduceat(self.logs[pairs], starts, axis=0)
+            sums = self.sums(part)
             at = len(self.known)
             clean = np.maximum(sums[:, :CLEAN].max(axis=1), [self.words.get(plain(w), -math.inf) for w in part])
             new_scores = sums[:, CLEAN:] - clean[:, None]

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 DIMENSION = 2048
 #: vectors of this many words are kept, those of so many are added up at once
 KEPT, TOGETHER = 10_000, 1000
+#: trigrams whose vectors are made at once
+MANY = 4000
 LANGUAGES = ("bg", "en", "ru", "de", "fr")
 
 # fixed values: other names of the languages
@@ -111,9 +113,13 @@ class Profiles:
         for i in range(0, len(new), 100):
             part = new[i : i + 100]
             grams, starts = trigrams(part)
-            at, own = len(self.known), vectors(grams).astype(np.float32)
+            at = len(self.known)
+            own = vectors(grams).astype(np.float32) if len(grams) <= MANY else None
             for row, a, b in zip(self.kept[at : at + len(part)], starts, [*starts[1:], len(grams)]):
-                np.add.reduce(own[a:b], axis=0, out=row)
+                if own is not None:
+                    np.add.reduce(own[a:b], axis=0, out=row)
+                else:  # long words in pieces
+                    row[:] = sum(vectors(grams[n : min(n + MANY, b)]).sum(axis=0, dtype=np.float32) for n in range(a, b, MANY))
             self.known.update(zip(part, range(at, at + len(part))))
 
     def places(self, words_: list[str]) -> list[int]:

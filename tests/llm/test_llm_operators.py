@@ -138,6 +138,17 @@ def test_model_of_any_layout(spark):
     assert np.allclose(a.logs, b.logs, atol=1e-4) and a.words == b.words
 
 
+def test_long_words(spark):
+    """A word of any length has the sums of its pieces, and a text that is one garbled word is found."""
+    rows, _ = planted()
+    model = encodings._train(spark.createDataFrame(rows, "chunk_id long, text string"))
+    word = "лекарството" * 9000
+    few = model.sums(["лекарството", word, "да"])
+    assert np.allclose(few[1], model.logs[encodings.bigrams([word])[0]].sum(axis=0, dtype=float), rtol=1e-3) and np.allclose(few[2], model.sums(["да"])[0], rtol=1e-4)
+    chains, restored, whole = encodings._inspect(model, encodings.garble(word, "utf-8>cp1251"), encodings.LEAST)
+    assert whole and restored == word
+
+
 def test_many_stretches_and_windows(monkeypatch, spark):
     """As many stretches as there are, in windows of any size."""
     rows, _ = planted()
@@ -167,7 +178,7 @@ def test_binding_and_cosine():
     texts = {"en": "the risk of fever doubles in patients with asthma", "de": "die Ursache für Fieber liegt meist in der Leber", "bg": "рискът от треска е двоен при болните"}
     counted = {l: np.unique(languages.trigrams(languages.words(t))[0], return_counts=True) for l, t in texts.items()}
     p = languages.Profiles(pd.concat([pd.DataFrame({"language": l, "gram": g, "n": n}) for l, (g, n) in counted.items()]))
-    asked = [*texts.values(), "the " * 300, "a" * 500, "the, of: " * 200 + texts["de"], "", "12 %", "x"]
+    asked = [*texts.values(), "the " * 300, "a" * 500, "die und " + texts["de"].replace(" ", "") * 500, "the, of: " * 200 + texts["de"], "", "12 %", "x"]
     got = p.cosines(asked)
     for text, cosines in zip(asked, got):
         bundle = languages.vectors(languages.trigrams(languages.words(text))[0]).astype(float).sum(axis=0) if languages.words(text) else np.zeros(languages.DIMENSION)
