@@ -90,7 +90,7 @@ def bm25_stored_idf(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_IDF}, u as (select chunk_id, unnest({_TERMS.format('text')}) term from body), tf as (select chunk_id, term, count(*) tf from u group by all) select chunk_id, term, round(idf * tf * 2.5 / (tf + 1.5), 5) weight from tf join idf using (term)")
 def bm25_passage_vectors(s: SparkSession, d: str) -> DataFrame:
-    return bm25.postings(_body(s, d), _weights(s, d), id="chunk_id").select("chunk_id", "term", F.round("weight", 5).alias("weight"))
+    return bm25.indexed(_body(s, d), id="chunk_id").postings.select("chunk_id", "term", F.round("weight", 5).alias("weight"))
 
 
 _DOC_IDF = f"""du as (select doc_id, source, lang, unnest({_TERMS.format('text')}) term from documents where text is not null),
@@ -251,7 +251,7 @@ select c.chunk_id, lower(content_type) content_type, coalesce(is_summary, false)
 def index_points(s: SparkSession, d: str) -> DataFrame:
     """What an index keeps of a chunk: its payload and its sparse vector in the order of terms, none where it has no entries."""
     chunks = table(s, d, "chunks")
-    made = bm25.sparse_vectors(bm25.postings(_body(s, d), _weights(s, d), id="chunk_id"), id="chunk_id")
+    made = bm25.sparse_vectors(bm25.indexed(_body(s, d), id="chunk_id").postings, id="chunk_id")
     sums = F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 4)
     payload = chunks.select("chunk_id", F.lower("content_type").alias("content_type"), F.coalesce("is_summary", F.lit(False)).alias("is_summary"), F.array_join(F.filter("icd_codes", lambda x: x != ""), ",").alias("icd_codes"))
     kept = made.select("chunk_id", F.array_join("terms", " ").alias("terms"), F.size("terms").alias("entries"), sums.alias("weight"))
