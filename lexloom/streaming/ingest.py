@@ -28,6 +28,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: lineage is cut, and readers get the columns they need only."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def events_of(spark: SparkSession, path: str, *, files: int = 1) -> DataFrame:
     """New parquet files under the path or pattern as a stream, ``files`` at a time."""
     schema = spark.read.parquet(path).schema
