@@ -69,7 +69,8 @@ def test_search_leaves_nothing_out(spark, monkeypatch, first):
         vectors.setdefault(i, {})[t] = w
     sought = index.postings.where("doc_id % 10 = 0").select(F.col("doc_id").alias("qid"), F.col("lang").alias("q_lang"), "term", F.col("weight").alias("sought"))
     for where, allowed in ((None, lambda q, d: True), (F.col("q_lang") == F.col("lang"), lambda q, d: docs[q][2] == docs[d][2])):
-        got = {(r.qid, r["rank"]): (r.doc_id, r.score) for r in bm25.best(sought, index, k=4, where=where).collect()}
+        got = {(r.qid, r["rank"]): (r.doc_id, r.score) for r in bm25.best_by_bounds(sought, index, k=4, where=where).collect()}
+        assert got == {(r.qid, r["rank"]): (r.doc_id, r.score) for r in bm25.best(sought, index, k=4, where=where).collect()}
         wanted = {}
         for q in range(0, 250, 10):
             scores = sorted((-round(sum(w * vectors[d].get(t, 0) for t, w in vectors.get(q, {}).items()), 6), d) for d in vectors if set(vectors[d]) & set(vectors.get(q, {})) and allowed(q, d))
