@@ -54,6 +54,70 @@ def test_search_by_brute_force(spark):
         assert [(r.doc_id, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.qid == q] == [(i, n + 1) for n, (_, i) in enumerate(scores[:4])]
 
 
+def shuffled(frame):
+    """Rows that the plan of a frame writes to shuffles."""
+
+    def walk(plan):
+        own = plan.metrics().get("shuffleRecordsWritten")
+        kind = plan.getClass().getSimpleName()
+        inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
+        below = [getattr(plan, inner)()] if inner else [plan.children().apply(n) for n in range(plan.children().size())]
+        return (own.get().value() if own.isDefined() and not inner else 0) + sum(map(walk, below))
+
+    frame.collect()
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def alike(spark, folder, n=600):
+    """Tables whose documents have a word in common, so that every one is met by every query."""
+    docs = [(i, f"common w{chr(97 + i % 23)}x w{chr(97 + i % 19)}y", "ab"[i % 2]) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, [math.sin(i * j + 1.0) for j in range(1, 5)]) for i in range(n)], "vec_id long, embedding array<float>").coalesce(2).write.parquet(f"{folder}/embeddings.parquet")
+
+
+@pytest.mark.parametrize("name", ["bm25_search_topk"])
+def test_search_shuffles_no_pairs(spark, tmp_path, name):
+    """6 queries meet 600 documents, or the half of their language; only the best of each task travel on."""
+    from oracle import agree, connect
+
+    from lexloom.plans import registry
+
+    alike(spark, tmp_path)
+    assert shuffled(registry.queries()[name](spark, str(tmp_path))) < 1000
+    agree(spark, connect(tmp_path), str(tmp_path), registry.queries()[name], registry.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scores_by_blocks(monkeypatch, seed):
+    """Blocks and batches of any size give what all products give: scripts, kinds, repeated texts and ties among them."""
+    import pyarrow as pa
+
+    from lexloom.operators import scores
+
+    rng = random.Random(seed)
+    for name, value in (("RECORDS", 64), ("BLOCK", rng.choice([1, 7, 50])), ("BATCH", rng.choice([1, 5])), ("FREQUENT", rng.choice([1, 4, 10**6])), ("AGAIN", rng.choice([1, 40]))):
+        monkeypatch.setattr(scores, name, value)
+    words = [a + chr(97 + n) for a in "aжあ" for n in range(12)]
+    texts = [None if i % 41 == 0 else rng.choices(words[12 * (i % 3) :] + words[:2], k=rng.randint(0, 30)) for i in range(150)]
+    docs = [(i, texts[i - 1] if i % 10 == 3 else texts[i], "xyz"[i % 3]) for i in range(150)]
+    rng.shuffle(docs)
+    asked = [(q, "xy"[q % 2], sorted({w: rng.choice([0.5, 1.0, 3.25]) for w in rng.sample(words, rng.randint(1, 9))}.items())) for q in range(20)]
+    share = lambda n: n * 2.5 / (n + 1.5)
+    for allowed in (None, {"x": {"x", "z"}}):
+        table = pa.table({"key": [q for q, _, _ in asked], "kind": [k for _, k, _ in asked], "terms": [[t for t, _ in e] for _, _, e in asked], "weights": [[w for _, w in e] for _, _, e in asked]})
+        schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        batches = [pa.RecordBatch.from_pydict({"id": [d[0] for d in p], "terms": pa.array([d[1] for d in p], pa.list_(pa.string())), "kind": [d[2] for d in p]}) for p in (docs[:70], docs[70:])]
+        got = {}
+        for r in pa.Table.from_batches(scores.best(scores.asked(table, allowed), 4, share, schema)(iter(batches)), schema).to_pylist():
+            got.setdefault(r["key"], []).append((-round(r["score"], 6), r["id"]))
+        wanted = {}
+        for q, kind, e in asked:
+            sums = [(-round(sum(w * share(t.count(x)) for x, w in e if x in t), 6), i) for i, t, own in docs if t and set(t) & {x for x, _ in e} and (allowed is None or own in allowed.get(kind, ()))]
+            if sums:
+                wanted[q] = sorted(sums)[:4]
+        assert {q: sorted(v) for q, v in got.items()} == wanted
+
+
 @pytest.mark.parametrize("first", [1, 3, 50])
 def test_search_leaves_nothing_out(spark, monkeypatch, first):
     """Bounds skip frequent terms for most records, and the result is that of all terms."""
