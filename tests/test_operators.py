@@ -87,6 +87,37 @@ def test_search_shuffles_no_pairs(spark, tmp_path, name):
     agree(spark, connect(tmp_path), str(tmp_path), registry.queries()[name], registry.oracle_sql()[name])
 
 
+def written(spark, run):
+    """Rows that all stages of a call write to shuffles."""
+    sc, java = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, java.new_array(java.jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(n) for n in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+@pytest.mark.parametrize("name", ["answers_all_passes"])
+def test_loop_shuffles_no_pairs(spark, tmp_path, name):
+    """Ten chunks ask the same title of 1,000; neither the pairs nor the chunks themselves are shuffled."""
+    from oracle import agree, connect
+
+    from lexloom.plans import registry
+
+    rows = [(i, f"book{i % 3}", "chapter", "common pains", i, f"common w{chr(97 + i % 23)}x w{chr(97 + i % 19)}y", "en", False, ["A00"]) for i in range(1000)]
+    columns = "chunk_id long, book_id string, chapter_title string, section_title string, chunk_index int, text string, language string, is_summary boolean, icd_codes array<string>"
+    spark.createDataFrame(rows, columns).coalesce(2).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/illnesses.parquet").write.parquet(f"{tmp_path}/illnesses.parquet")
+    query, sql = registry.queries()[name], registry.oracle_sql().get(name)
+    assert written(spark, lambda: query(spark, str(tmp_path)).collect()) < 3000
+    if sql:
+        agree(spark, connect(tmp_path), str(tmp_path), query, sql)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_scores_by_blocks(monkeypatch, seed):
     """Blocks and batches of any size give what all products give: scripts, kinds, repeated texts and ties among them."""
