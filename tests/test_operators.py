@@ -101,6 +101,13 @@ def written(spark, run):
     return sum(n for stage, n in stages().items() if stage not in before)
 
 
+def test_loop_over_documents_shuffles_no_pairs(spark, tmp_path):
+    from lexloom.plans import registry
+
+    alike(spark, tmp_path, 1200)
+    assert written(spark, lambda: registry.retrieval_loop(spark, str(tmp_path)).collect()) < 6000
+
+
 @pytest.mark.parametrize("name", ["answers_all_passes"])
 def test_loop_shuffles_no_pairs(spark, tmp_path, name):
     """Ten chunks ask the same title of 1,000; neither the pairs nor the chunks themselves are shuffled."""
