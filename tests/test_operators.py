@@ -108,7 +108,7 @@ def test_loop_over_documents_shuffles_no_pairs(spark, tmp_path):
     assert written(spark, lambda: registry.retrieval_loop(spark, str(tmp_path)).collect()) < 6000
 
 
-@pytest.mark.parametrize("name", ["answers_all_passes", "answers_second_pass"])
+@pytest.mark.parametrize("name", ["answers_all_passes", "answers_second_pass", "answers_first_pass"])
 def test_loop_shuffles_no_pairs(spark, tmp_path, name):
     """Ten chunks ask the same title of 1,000; neither the pairs nor the chunks themselves are shuffled."""
     from oracle import agree, connect
