@@ -75,7 +75,7 @@ def alike(spark, folder, n=600):
     spark.createDataFrame([(i, [math.sin(i * j + 1.0) for j in range(1, 5)]) for i in range(n)], "vec_id long, embedding array<float>").coalesce(2).write.parquet(f"{folder}/embeddings.parquet")
 
 
-@pytest.mark.parametrize("name", ["bm25_search_topk", "bm25_search_filtered", "hybrid_rrf"])
+@pytest.mark.parametrize("name", ["bm25_search_topk", "bm25_search_filtered", "hybrid_rrf", "retry_pool"])
 def test_search_shuffles_no_pairs(spark, tmp_path, name):
     """6 queries meet 600 documents, or the half of their language; only the best of each task travel on."""
     from oracle import agree, connect
