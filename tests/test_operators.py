@@ -108,6 +108,19 @@ def test_loop_over_documents_shuffles_no_pairs(spark, tmp_path):
     assert written(spark, lambda: registry.retrieval_loop(spark, str(tmp_path)).collect()) < 6000
 
 
+def test_loop_over_documents_searches_once_for_all_k(spark, monkeypatch):
+    """Passes that differ in k only share a search, and its hits are those that each would find."""
+    from lexloom.plans import registry
+
+    calls, best, folder = [], bm25.best, "/root/testdata/sf0.001"
+    monkeypatch.setattr(bm25, "best", lambda *a, **more: calls.append(more["k"]) or best(*a, **more))
+    rows = lambda: sorted(map(str, registry.retrieval_loop(spark, folder).collect()))
+    got = rows()
+    assert calls == [15, 15, 20]
+    monkeypatch.setattr(rag.Ahead, "hits", lambda self, asked, how, find: find(how.k))
+    assert rows() == got and calls[3:] == [5, 10, 10, 15, 15, 20]
+
+
 @pytest.mark.parametrize("name", ["answers_all_passes", "answers_second_pass", "answers_first_pass"])
 def test_loop_shuffles_no_pairs(spark, tmp_path, name):
     """Ten chunks ask the same title of 1,000; neither the pairs nor the chunks themselves are shuffled."""
